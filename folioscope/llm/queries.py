@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, mixing
+from folioscope.llm import bpe, fingerprint, mixing
 from folioscope.llm.common import table
 
 
@@ -22,8 +22,14 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_weighted_sampling": op9_weighted_sampling,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
