@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, mixing
+from folioscope.llm import ann, bpe, chat, fingerprint, mixing, toxicity
 from folioscope.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op1_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, k=20)
 
 
+def held_out(modulus: int, key: str = "doc_id") -> Column:
+    """Whether a row is held out: crc32 of the key as text leaves remainder 2. A null key is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(modulus)) == 2, F.lit(False))
+
+
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(4))
+    return toxicity.score(docs, model).select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -48,6 +59,7 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_block_join": op1_block_join,
+    "op3_compression_toxicity": op3_compression_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_reply_trees": op6_reply_trees,
     "op9_weighted_sampling": op9_weighted_sampling,
