@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, mixing, toxicity
+from folioscope.llm import ann, bpe, chat, fingerprint, minhash, mixing, toxicity
 from folioscope.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_similarity_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_block_join": op1_block_join,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_similarity_sketches": op5_similarity_sketches,
     "op6_reply_trees": op6_reply_trees,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_entropy_mix": op10_entropy_mix,
