@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, minhash, mixing, toxicity
+from folioscope.llm import ann, bpe, chat, fingerprint, linededup, minhash, mixing, toxicity
 from folioscope.llm.common import table
 
 
@@ -37,6 +37,12 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    return docs.select("doc_id", lines.alias("n_lines_kept"), F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
+
+
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprint.compare_edited(table(spark, sf_dir, "documents"))
     return pairs.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_similarity_sketches": op5_similarity_sketches,
     "op6_reply_trees": op6_reply_trees,
+    "op8_edit_join": op8_edit_join,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_entropy_mix": op10_entropy_mix,
 }
