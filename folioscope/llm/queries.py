@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, linededup, minhash, mixing, toxicity
+from folioscope.llm import ann, bpe, chat, fingerprint, linededup, minhash, mixing, pylm, toxicity
 from folioscope.llm.common import table
 
 
@@ -19,6 +19,10 @@ def held_out(modulus: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(modulus)) == 2, F.lit(False))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pylm.score(table(spark, sf_dir, "documents"), ~held_out(7))
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(4))
@@ -69,6 +73,7 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_block_join": op1_block_join,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_similarity_sketches": op5_similarity_sketches,
