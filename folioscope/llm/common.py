@@ -8,10 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Words of the contracts: runs of anything but ASCII white space.
-WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 #: Texts handed to Python at once, so that the objects of one slice stay small.
 SLICE_BYTES = 4 << 20
 
@@ -42,7 +41,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str, *partition_cols: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back; removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -64,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: int | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each slice holds about SLICE_BYTES of data (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -86,6 +85,11 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def word_count(text: Column) -> Column:
+    """Number of runs of anything but ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z only and splits at ASCII white space; both are what bytes methods do."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

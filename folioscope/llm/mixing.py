@@ -11,19 +11,15 @@ running sum of wanted tokens, so that the error of a source ends below one small
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, written
+from folioscope.llm.common import checkpoint, word_count, written
 
 #: Documents of one cell that one task ranks, on average.
 CELL_ROWS = 500_000
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """sid, source_size, target from sid, source, source_size: shares by weight, filled up to cap times the size.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, linededup, minhash, mixing, pylm, toxicity
+from folioscope.llm import ann, bpe, chat, fingerprint, html, linededup, minhash, mixing, pylm, toxicity
 from folioscope.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op8_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_similarity_sketches": op5_similarity_sketches,
     "op6_reply_trees": op6_reply_trees,
+    "op7_layout_text": op7_layout_text,
     "op8_edit_join": op8_edit_join,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_entropy_mix": op10_entropy_mix,
