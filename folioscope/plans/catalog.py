@@ -5,6 +5,109 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import profiles
+from folioscope.operators import tokens as tk
+from folioscope.plans.dialect import DUCK, SPARK, Dialect
+from folioscope.plans import queries_corpus, queries_relational, queries_style, queries_text
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_STOP = sorted({w for ws in profiles.STOP.values() for w in ws})
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _refs(read: Callable) -> DataFrame:
+    return read("benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+#: Base tables as Spark builds them.
+BASES: dict[str, Callable] = {
+    "para": lambda read: tk.paragraphs(read("documents")),
+    "tok": lambda read: tk.tokens(read("documents")),
+    "ptok": lambda read: tk.paragraph_tokens(read("documents")),
+    "sent": lambda read: tk.sentences(read("documents")),
+    "sh": lambda read: tk.shingles(tk.tokens(read("documents")), _STOP),
+    "fp": lambda read: tk.winnow(tk.shingles(tk.tokens(read("documents")), _STOP)),
+    "psh": lambda read: tk.shingles(tk.paragraph_tokens(read("documents")), profiles.STOP_EN, ("doc_id", "idx")),
+    "rtok": lambda read: tk.tokens(_refs(read)),
+    "rsh": lambda read: tk.shingles(tk.tokens(_refs(read)), _STOP),
+    "rfp": lambda read: tk.winnow(tk.shingles(tk.tokens(_refs(read)), _STOP)),
+}
+
+
+def _ctes() -> dict[str, str]:
+    """The same base tables in DuckDB."""
+    word, cut = DUCK.lit(profiles.WORD), DUCK.lit(profiles.SENTENCE_END)
+
+    def tok(source: str, key: str) -> str:
+        return f"SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT {key}, regexp_extract_all(lower(text), {word}) AS w FROM {source})"
+
+    def sh(source: str, key: str, stop: list[str]) -> str:
+        among = ", ".join(DUCK.lit(w) for w in stop)
+        leads = ", ".join(f"lead(word, {i}) OVER w AS w{i}" for i in range(1, 6))
+        return f"""SELECT {key}, pos, {DUCK.h60("concat_ws(' ', word, w1, w2, w3, w4, w5)")} AS h FROM (
+            SELECT {key}, pos, word, {leads}, sum(CASE WHEN word NOT IN ({among}) AND length(word) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS content
+            FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY pos)) WHERE w5 IS NOT NULL AND content >= 2"""
+
+    def fp(source: str) -> str:
+        return f"""SELECT DISTINCT doc_id, pos, h FROM (
+            SELECT doc_id, CASE WHEN n <= 4 THEN pos ELSE -least.p END AS pos, CASE WHEN n <= 4 THEN h ELSE least.h END AS h FROM (
+            SELECT doc_id, pos, h, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i,
+                   min({{'h': h, 'p': -pos}}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS least FROM {source})
+            WHERE n <= 4 OR i <= n - 3)"""
+
+    refs = "(SELECT item_id AS doc_id, text FROM benchmark)"
+    para = "SELECT doc_id, idx, trim(text) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents) WHERE trim(text) <> ''"
+    sent = f"SELECT doc_id, idx, n, sentence FROM (SELECT doc_id, idx, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS n FROM (SELECT doc_id, idx, string_split(regexp_replace(text, {cut}, '\\1' || chr(30) || '\\2', 'g'), chr(30)) AS s FROM para)) WHERE regexp_matches(sentence, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]')"
+    return {
+        "para": para,
+        "tok": tok("documents", "doc_id"),
+        "ptok": tok("para", "doc_id, idx"),
+        "sent": sent,
+        "sh": sh("tok", "doc_id", _STOP),
+        "fp": fp("sh"),
+        "psh": sh("ptok", "doc_id, idx", profiles.STOP_EN),
+        "rtok": tok(refs, "doc_id"),
+        "rsh": sh("rtok", "doc_id", _STOP),
+        "rfp": fp("rsh"),
+    }
+
+
+_NEEDS = {"ptok": ["para"], "sent": ["para"], "sh": ["tok"], "fp": ["tok", "sh"], "psh": ["para", "ptok"], "rsh": ["rtok"], "rfp": ["rtok", "rsh"]}
+
+
+def _spark_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
+    sql = build(SPARK)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in TABLES:
+            if SPARK.t(name) in sql:
+                _read(spark, sf_dir, name).createOrReplaceTempView(SPARK.t(name))
+        for base in bases:
+            BASES[base](lambda name: _read(spark, sf_dir, name)).createOrReplaceTempView(SPARK.t(base))
+        return spark.sql(sql)
+
+    return run
+
+
+def _duck_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> str:
+    ctes, order = _ctes(), list(dict.fromkeys(x for b in bases for x in [*_NEEDS.get(b, []), b]))
+    sql = build(DUCK).strip()
+    if not order:
+        return sql
+    head = ",\n".join(f"{b} AS ({ctes[b]})" for b in order)
+    return f"WITH {head},\n{sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {head}\n{sql}"
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (queries_corpus, queries_relational, queries_style, queries_text):
+    for _name, (_bases, _build) in _module.SHARED.items():
+        QUERIES[_name] = _spark_query(_bases, _build)
+        ORACLE_SQL[_name] = _duck_query(_bases, _build)
+    QUERIES |= getattr(_module, "QUERIES", {})
+    ORACLE_SQL |= getattr(_module, "ORACLE_SQL", {})
