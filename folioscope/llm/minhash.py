@@ -8,8 +8,8 @@ that of t independent samples.
 
 Documents of equal sets are one class. Bands of the sketch bring classes together; within a band's group all are
 compared with one centre, never all with all. Links are confirmed on full shingle sets. Where
-a group still spans several components afterwards, other centres follow, and at last sketches
-are compared block by block between components, so that no link is lost but with the
+a group still spans several components afterwards, other centres follow, and at last the groups that hang
+together are compared block by block between components, inside the tasks, so that no link is lost but with the
 probability that banding itself misses it: (1 - s^4)^32 at similarity s, 5e-8 at 0.8.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, map_slices, words, written
+from folioscope.llm.common import checkpoint, discard, map_slices, words, written
 from folioscope.llm.graph import components
 
 BINS, BANDS = 128, 32
@@ -67,7 +67,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """The filled bins of a non-empty set, 32 bits each."""
+    """The filled bins of a non-empty set, 16 bits each."""
     out = np.zeros(bins, np.uint64)
     open_ = np.ones(bins, bool)
     none = np.uint64(2**64 - 1)
@@ -84,7 +84,7 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
         open_ &= ~fill
         if not open_.any():
             break
-    return (_mix(out) >> np.uint64(32)).astype(np.uint32)
+    return (_mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def _describe(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -119,17 +119,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(part.column(2), part.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            if 100 * len(small) < percent * len(large):
-                good.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            good.append(100 * both >= percent * (len(p) + len(q) - both))
+        good = [_overlap(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(part.column(2), part.column(3), strict=True)]
         mask = pa.array(good, pa.bool_())
         return pa.record_batch([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
@@ -138,26 +128,55 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_slices(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _tiles(groups: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one group whose sketches agree well, block against block."""
-    counts = groups.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(marks, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sided = dealt.select("band", "block", other.alias("o"), "id", "comp", "sketch")
-    sided = sided.select("band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "comp", "sketch", (F.col("block") == F.least("block", "o")).alias("left"), (F.col("block") == F.greatest("block", "o")).alias("right"))
+def _overlap(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _tiles(families: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between components of one family, block of BLOCK classes against block.
+
+    families: id, comp, family. What the sketches rule out is not verified, nor what a tile has linked already;
+    only links leave a tile.
+    """
+    counts = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = families.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(marks.select("id", "sketch"), "id").join(sets.select("id", "items"), "id")
+    sided = dealt.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "id", "comp", "sketch", "items")
+    sided = sided.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "comp", "sketch", "items")
 
     def run(key: tuple, batch: pa.Table) -> pa.Table:
-        ids, comp = batch["id"].to_numpy(), batch["comp"].to_numpy()
-        x = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint32).reshape(len(ids), BINS)
-        left, right = (np.flatnonzero(batch[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        batch = batch.combine_chunks()
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, block = batch["id"].to_numpy(), batch["block"].to_numpy()
+        root = {c: c for c in batch["comp"].to_pylist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        comp = batch["comp"].to_pylist()
+        x = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(len(ids), BINS)
+        items = [np.frombuffer(v.as_buffer(), "<u8") for v in batch["items"]]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
-        for i in left:
-            near = right[((x[right] == x[i]).sum(axis=1) >= LEAST_AGREE) & (comp[right] != comp[i]) & (ids[right] > ids[i] if key[1] == key[2] else True)]
-            a += [ids[i]] * len(near)
-            b += ids[near].tolist()
+        for u in left:
+            for v in right[((x[right] == x[u]).sum(axis=1) >= LEAST_AGREE) & (ids[right] > ids[u] if i == j else True)]:
+                p, q = find(comp[u]), find(comp[v])
+                if p != q and _overlap(items[u], items[v], percent):
+                    root[max(p, q)] = min(p, q)
+                    a.append(min(ids[u], ids[v]))
+                    b.append(max(ids[u], ids[v]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sided.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sided.groupBy("family", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -169,12 +188,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     null key takes its class's component if other rows share its set, else it has none and is kept. Repeated keys are
     rows of their own; exact repeats of one row share key and component, so all are kept. Other columns do not matter.
     """
-    rows = written(_describe(docs, key, text, k), "sketches")
+    sketched = written(_describe(docs, key, text, k), "sketches")
+    rows = written(sketched.select("id", "n", "same"), "sizes")
     classes = rows.filter("n > 0").groupBy("same").agg(F.min("id").alias("rep"))
     classes = written(classes, "classes")
-    reps = rows.filter("n > 0").select("id", "same", "sketch").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), "same"), ["id", "same"])
+    reps = sketched.filter("n > 0").select("id", "same", "sketch").join(classes.filter("rep is not null").select(F.col("rep").alias("id"), "same"), ["id", "same"])
     marks = written(reps.dropDuplicates(["id"]).select("id", "same", "sketch"), "reps")
-    size = 4 * BINS // BANDS
+    discard(sketched)
+    size = 2 * BINS // BANDS
 
     def band(i: int) -> Column:
         return F.xxhash64(F.lit(i), F.substring("sketch", i * size + 1, size))
@@ -189,14 +210,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     comps = components(links)
     for turn in range(STAR_ROUNDS + 1):
         labelled = groups.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("centre")).filter("low <> high")
-        open_ = checkpoint(labelled.join(mixed.select("band", "centre"), "band"))
-        if open_.isEmpty():
+        # every band takes a centre of its own, so that a wide group is seen from many sides in one turn
+        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "id").alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp")))
+        mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), centre.alias("centre")).filter("low <> high")
+        mixed = checkpoint(mixed.select("band", F.col("centre.id").alias("centre"), F.col("centre.comp").alias("centre_comp")))
+        if mixed.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            pairs = open_.filter("comp <> centre.comp").select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
-        else:
-            pairs = _tiles(open_.select("band", "id", "comp"), marks.select("id", "sketch"))
+        open_ = labelled.join(mixed, "band")
+        if turn == STAR_ROUNDS:
+            near = components(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")))
+            families = open_.select("id", "comp").distinct().join(near.select(F.col("node").alias("id"), F.col("comp").alias("family")), "id")
+            comps = components(links.unionByName(_tiles(checkpoint(families), marks, sets, percent)))
+            break
+        pairs = open_.filter("comp <> centre_comp").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         pairs = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         links = checkpoint(links.unionByName(_verify(pairs, sets, percent)))
