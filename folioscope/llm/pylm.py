@@ -37,7 +37,7 @@ HEAVY_GROUP = 16
 BURN_IN, SAMPLES = 1, 3
 D0, THETA0, D1, THETA1 = 0.5, 1.0, 0.75, 1.0
 #: Text bytes of one part, and tokens that a task sorts at once.
-PART_BYTES, BATCH_TOKENS = 24 << 20, 1_500_000
+PART_BYTES, BATCH_TOKENS = 12 << 20, 600_000
 #: The end of a text and the context of its first token; no word holds a space.
 END, BEGIN = xxhash.xxh3_64_intdigest(b" "), xxhash.xxh3_64_intdigest(b"  ") % CONTEXTS
 
