@@ -63,17 +63,21 @@ def within(pairs: DataFrame, threshold: int = THRESHOLD, a: str = "a", b: str =
     """
     t, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
-    cut = pairs.filter(F.abs(F.length(a) - F.length(b)) <= t).withColumns({"ca": F.split(a, ""), "cb": F.split(b, "")})
+    near = pairs.filter(F.abs(F.length(a) - F.length(b)) <= t)
 
-    def bits(i: Column) -> Column:
-        out = F.lit(0)
-        for d in range(-t, t + 1):
-            out = out + F.when(F.get("cb", i + d) == F.get("ca", i), 1 << (t + d)).otherwise(0)
-            out = out + F.when((i + 1 + d >= 0) & (i + 1 + d <= F.length(b)), 1 << (width + t + d)).otherwise(0)
-        return out
+    def masks(both: Column) -> Column:
+        def bits(i: Column) -> Column:
+            out = F.lit(0)
+            for d in range(-t, t + 1):
+                out = out + F.when(F.get(both["b"], i + d) == F.get(both["a"], i), 1 << (t + d)).otherwise(0)
+                out = out + F.when((i + 1 + d >= 0) & (i + 1 + d <= both["m"]), 1 << (width + t + d)).otherwise(0)
+            return out
 
-    steps = F.when(F.length(a) > 0, F.transform(F.sequence(F.lit(0), F.length(a) - 1), bits)).otherwise(F.array().cast("array<int>"))
-    cut = cut.withColumn("steps", steps)
+        return F.when(both["n"] > 0, F.transform(F.sequence(F.lit(0), both["n"] - 1), bits)).otherwise(F.array().cast("array<int>"))
+
+    # bound as a lambda's variable, the characters are split once a pair, not once a step
+    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("n"), F.length(b).alias("m"))
+    steps = F.flatten(F.transform(F.array(both), masks))
 
     def step(words: Column, mask: Column) -> Column:
         hit, ok = mask.bitwiseAND(F.shiftright(mask, width)), F.shiftright(mask, width)
@@ -85,9 +89,9 @@ def within(pairs: DataFrame, threshold: int = THRESHOLD, a: str = "a", b: str =
         return F.struct(*(x.alias(f"w{e}") for e, x in enumerate(new)))
 
     start = F.struct(*(F.lit(sum(1 << (t + d) for d in range(e + 1))).alias(f"w{e}") for e in range(t + 1)))
-    last = F.aggregate("steps", start, step)[f"w{t}"]
+    last = F.aggregate(steps, start, step)[f"w{t}"]
     ends = F.when(last.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.length(b) - F.length(a) + t)) != 0, True).otherwise(False)
-    return cut.filter(ends).drop("ca", "cb", "steps")
+    return near.filter(ends)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,7 +114,8 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     one = probe.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     two = index.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     near = (one["k"] == two["k"]) & (one["a"] != two["b"]) & (F.levenshtein("x", "y", threshold) >= 0)
-    found = one.join(two, near).select("a", "b", "x", "y").dropDuplicates(["a", "b"])
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = one.join(two, near).select("a", "b", "x", "y").repartition(parts, "a", "b").dropDuplicates(["a", "b"])
     return within(found, threshold, "x", "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
