@@ -207,3 +207,38 @@ def _(d):
 @q("d21_contamination", "sh", "tok", "rfp")
 def _(d):
     return hits(d) + f" SELECT b.item_id, count(DISTINCT s.doc_id) AS n_docs FROM {d.t('benchmark')} b LEFT JOIN source s ON s.ref = b.item_id GROUP BY b.item_id"
+
+
+# Stock phrases that never count as borrowed.
+TEMPLATES_EN = [
+    "the aim of this study", "the purpose of this study", "the aim of the research", "in this paper", "in this article", "in this study", "in this work", "the relevance of the topic",
+    "research objectives", "the objectives of the study", "object of the research", "subject of the research", "scientific novelty", "practical significance", "theoretical significance",
+    "research methods", "structure of the thesis", "list of references", "it should be noted that", "it is worth noting that", "in conclusion", "to sum up", "in recent years", "at the same time",
+    "first of all", "plays an important role", "is of great importance", "the results of the study showed", "the results show that", "the following conclusions",
+]
+
+
+@q("k6_template_words", "tok")
+def _(d):
+    sizes = sorted({len(p.split()) for p in TEMPLATES_EN})
+    leads = ", ".join(f"lead(word, {i}) OVER (PARTITION BY doc_id ORDER BY pos) AS w{i}" for i in range(1, max(sizes)))
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, pos, {n} AS n FROM g WHERE concat_ws(' ', {', '.join(['word', *(f'w{i}' for i in range(1, n))])}) IN ({', '.join(d.lit(p) for p in TEMPLATES_EN if len(p.split()) == n)})" for n in sizes
+    )
+    return f"""WITH g AS (SELECT doc_id, pos, word, {leads} FROM {d.t('tok')}), f AS ({found}), b AS (SELECT doc_id, pos, max(n) AS n FROM f GROUP BY doc_id, pos),
+    m AS (SELECT DISTINCT doc_id, pos + o AS pos FROM (SELECT doc_id, pos, {d.explode(d.series('0', 'n - 1'))} AS o FROM b) z), c AS (SELECT doc_id, count(*) AS words FROM m GROUP BY doc_id)
+    SELECT b.doc_id, count(*) AS occurrences, max(c.words) AS words FROM b JOIN c ON c.doc_id = b.doc_id GROUP BY b.doc_id"""
+
+
+PAYLOADS = [
+    (1, '{"title": "On Spark", "publication_year": 2020, "doi": "https://doi.org/10.1/AB", "abstract": "<jats:p>Short text</jats:p>"}'),
+    (2, '{"title": "Zweite Arbeit", "publication_year": 1999, "doi": "10.2/x", "abstract": "plain"}'),
+    (3, '{"title": "No year"}'),
+]
+
+
+@q("a31_payload_records")
+def _(d):
+    rows = ", ".join(f"({i}, {d.lit(b)})" for i, b in PAYLOADS)
+    return f"""WITH p AS (SELECT * FROM (VALUES {rows}) AS p_seed(id, body))
+    SELECT id, {d.json('body', 'title')} AS title, CAST({d.json('body', 'publication_year')} AS INT) AS year, lower({d.rr(d.json('body', 'doi'), '^https?://doi.org/', '')}) AS doi, trim({d.rr(d.json('body', 'abstract'), '<[^>]+>', ' ')}) AS abstract FROM p"""

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from folioscope.plans.dialect import Dialect
+from folioscope.streaming import jobs
 
 SHARED: dict = {}
 
@@ -73,8 +77,6 @@ def _(d):
 
 @q("i_cosine_neighbours")
 def _(d):
-    parts = f"SELECT vec_id, label, {d.explode('embedding')} AS x, {'posexplode_pos' if False else ''} 0 AS z"
-    del parts
     if d.spark:
         dot = "aggregate(zip_with(a.e, b.e, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, v) -> s + v)"
         vec = "transform(embedding, x -> CAST(x AS DOUBLE))"
@@ -106,3 +108,12 @@ def _(d):
 def _(d):
     return centroids(d) + """, s AS (SELECT f.vec_id, m.label, sum(f.x * m.x) / max(n.norm) AS score FROM f JOIN m ON m.i = f.i JOIN n ON n.label = m.label GROUP BY f.vec_id, m.label),
     r AS (SELECT vec_id, label, score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, label) AS k FROM s) SELECT vec_id, label, round(score, 6) AS score FROM r WHERE k = 1"""
+
+
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.drain(jobs.hourly_counts(jobs.event_stream(spark, sf_dir)))
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+QUERIES = {"n1_event_stream": hourly_stream}
+ORACLE_SQL = {"n1_event_stream": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"}

@@ -116,7 +116,7 @@ def _(d):
 def _(d):
     host = d.rx("url", "^[a-z]+://([^/:?#]+)", 1)
     private = d.rlike(host, "^(10[.]|127[.]|192[.]168[.]|169[.]254[.]|172[.](1[6-9]|2[0-9]|3[01])[.])")
-    return f"WITH {values(d, 'u', 'id, url', SEED_URLS)} SELECT id, ({d.rlike('url', '^https?://')} AND NOT {private} AND NOT {d.rlike('url', '^[a-z]+://[^/]+:(?!)') if False else d.rlike('url', '^[a-z]+://[^/:]+:[0-9]+')}) AS allowed FROM u"
+    return f"WITH {values(d, 'u', 'id, url', SEED_URLS)} SELECT id, ({d.rlike('url', '^https?://')} AND NOT {private} AND NOT {d.rlike('url', '^[a-z]+://[^/:]+:[0-9]+')}) AS allowed FROM u"
 
 
 @q("a15_text_scan", "para", "ptok")
@@ -281,3 +281,11 @@ def _(d):
 @q("conversation_order")
 def _(d):
     return f"SELECT conv_id, {d.agg_text('role', '>', 'turn')} AS roles, count(*) AS n, sum(length(text)) AS chars FROM {d.t('conversations')} GROUP BY conv_id"
+
+
+@q("m6_headings", "para")
+def _(d):
+    low = "lower(text)"
+    kind = f"CASE WHEN {d.rlike(low, '^(abstract|summary)[.:]?$')} THEN 'abstract' WHEN {d.rlike(low, '^(references|bibliography|works cited)[.:]?$')} THEN 'references' WHEN {d.rlike(low, '^(conclusions?|concluding remarks)[.:]?$')} THEN 'conclusion' ELSE 'section' END"
+    level = f"CASE WHEN {d.rlike(low, '^chapter +([ivxlc]+|[0-9]+)')} THEN 1 WHEN {d.rlike('text', '^[0-9]+[.][0-9]+[.][0-9]+[. ]')} THEN 3 WHEN {d.rlike('text', '^[0-9]+[.][0-9]+[. ]')} THEN 2 WHEN {d.rlike('text', '^(§ *)?[0-9]+[.)] +[A-Z]')} THEN 1 WHEN length(text) < 30 AND {d.rlike('text', '^[A-ZÀ-Þ][^.!?]*$')} THEN 2 END"
+    return f"SELECT doc_id, idx, level, kind FROM (SELECT doc_id, idx, {level} AS level, {kind} AS kind FROM {d.t('para')}) z WHERE level IS NOT NULL"
