@@ -31,7 +31,7 @@ BINS, BANDS = 128, 32
 LEAST_AGREE = 76
 #: Classes in a block of the last, blockwise comparison.
 BLOCK = 256
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
