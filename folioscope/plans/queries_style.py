@@ -155,7 +155,7 @@ def _(d):
 @q("e17_mattr", "tok")
 def _(d):
     windows = f"SELECT doc_id, n, {d.explode(d.series('0', 'CAST(' + d.idiv('greatest(n - 50, 0)', '10') + ' AS INT)'))} AS o FROM (SELECT doc_id, count(*) AS n FROM {d.t('tok')} GROUP BY doc_id) c"
-    return f"SELECT doc_id, round(avg(v), 6) AS mattr FROM (SELECT w.doc_id, w.o, CAST(count(DISTINCT t.word) AS DOUBLE) / least(50, max(w.n)) AS v FROM {d.t('tok')} t JOIN ({windows}) w ON w.doc_id = t.doc_id AND t.pos >= w.o * 10 AND t.pos < w.o * 10 + 50 GROUP BY w.doc_id, w.o) z GROUP BY doc_id"
+    return f"SELECT doc_id, CAST(sum(v) AS DOUBLE) / (count(*) * max(size)) AS mattr FROM (SELECT w.doc_id, w.o, count(DISTINCT t.word) AS v, least(50, max(w.n)) AS size FROM {d.t('tok')} t JOIN ({windows}) w ON w.doc_id = t.doc_id AND t.pos >= w.o * 10 AND t.pos < w.o * 10 + 50 GROUP BY w.doc_id, w.o) z GROUP BY doc_id"
 
 
 @q("e16_robust_median", "tok")
