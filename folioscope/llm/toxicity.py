@@ -1,9 +1,9 @@
 """Toxicity by compression distance: one zstandard dictionary per class, calibrated thresholds.
 
 A window is one word between fixed marks, followed by a constant tail (without it zstandard stores
-short inputs uncompressed and all lengths are equal). The toxic dictionary is trained on the words that
-labelled toxic texts hold far more often than ordinary ones, the ordinary dictionary on the opposite
-words. A window counts as toxic if the toxic dictionary compresses it to at most `length` bytes and at
+short inputs uncompressed and all lengths are equal). zstandard trains both dictionaries on texts of
+framed words: the ordinary one on whole ordinary texts, the toxic one on toxic texts without the words that
+are not far more frequent there than in ordinary texts. A window counts as toxic if the toxic dictionary compresses it to at most `length` bytes and at
 least `gain` bytes shorter than the ordinary one does. Both thresholds, and the share of toxic texts
 for each number of such windows, come from labelled rows that the dictionaries have not seen.
 """
@@ -26,7 +26,7 @@ from folioscope.llm.common import slices
 #: Labelled rows of either class that are collected for fitting, at most.
 MAX_PER_CLASS = 3000
 DICTIONARY_BYTES = 32768
-#: How many times likelier a word of the one class is than in the other, to be trained on.
+#: How many times likelier a word is in toxic texts than in ordinary ones, to be trained on.
 RATIO = 20.0
 OPEN, CLOSE, TAIL = b"\x01\x02\x03", b"\x04\x05\x06", b"\n" * 64
 #: Counts of toxic windows that are told apart.
@@ -38,19 +38,19 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(b".,;:!?()[]\"'|") for x in common.words(text)) if w]
 
 
-def _frame(word: bytes) -> bytes:
-    return OPEN + word + CLOSE
+def _frame(sample: list[bytes]) -> bytes:
+    return b"".join(OPEN + w + CLOSE for w in sample)
 
 
-def _train(samples: list[bytes]) -> bytes:
-    """A trained dictionary, as raw content; few samples are their own dictionary."""
-    if sum(map(len, samples)) > 4 * DICTIONARY_BYTES:
-        try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=8, steps=1).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    common = [w for w, _ in Counter(samples).most_common()][::-1]
-    return (b"".join(common) or OPEN + CLOSE + TAIL)[-DICTIONARY_BYTES:]
+def _train(samples: list[list[bytes]]) -> bytes:
+    """A trained dictionary, as raw content; samples too few for zstandard to train on are their own dictionary."""
+    framed = [_frame(x) for x in samples if x]
+    size = min(DICTIONARY_BYTES, max(256, sum(map(len, framed)) // 8))
+    try:
+        return zstandard.train_dictionary(size, framed, k=32, d=8, steps=1).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        common = [_frame([w]) for w, _ in Counter(w for x in samples for w in x).most_common()][::-1]
+        return (b"".join(common) or OPEN + CLOSE + TAIL)[-DICTIONARY_BYTES:]
 
 
 @dataclass
@@ -64,7 +64,7 @@ class Model:
     def lengths(self) -> tuple:
         def compressor(content: bytes):
             parameters = zstandard.ZstdCompressionParameters(
-                window_log=14, hash_log=12, chain_log=12, search_log=5, min_match=6, target_length=32, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False, write_checksum=False
+                window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=6, target_length=32, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False, write_checksum=False
             )
             return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
 
@@ -96,16 +96,12 @@ class Scorer:
         return self.shares[min(hits, STEPS)]
 
 
-def _outstanding(mine: list[str], others: list[str], least: int, ratio: float) -> list[bytes]:
-    """Framed words of mine, each as often as it occurs, that stand out against the other class."""
-    here, there = Counter(), Counter()
-    for t in mine:
-        here.update(set(words(t)))
-    for t in others:
-        there.update(set(words(t)))
+def _outstanding(mine: list[list[bytes]], others: list[list[bytes]], least: int, ratio: float) -> list[list[bytes]]:
+    """The texts of mine, reduced to the words that stand out against the other class."""
+    here, there = (Counter(w for t in texts for w in set(t)) for texts in (mine, others))
     n, m = max(1, len(mine)), max(1, len(others))
     keep = {w for w, c in here.items() if c >= least and c / n > ratio * (there[w] + 0.5) / m and len(w) <= 64}
-    return [_frame(w) for t in mine for w in words(t) if w in keep]
+    return [[w for w in t if w in keep] for t in mine]
 
 
 def fit(toxic: list[str], ordinary: list[str], base_rate: float) -> Model:
@@ -116,7 +112,8 @@ def fit(toxic: list[str], ordinary: list[str], base_rate: float) -> Model:
     if not t_fit or not o_fit:
         return Model(b"", b"", shares=(base_rate,) * (STEPS + 1))
     least = max(2, min(4, len(t_fit) // 100))
-    model = Model(_train(_outstanding(t_fit, o_fit, least, RATIO)), _train(_outstanding(o_fit, t_fit, least, RATIO)))
+    t_words, o_words = ([words(x) for x in texts] for texts in (t_fit, o_fit))
+    model = Model(_train(_outstanding(t_words, o_words, least, RATIO)), _train(o_words))
     toxic_n, ordinary_n = model.lengths()
     t_set, o_set = t_set or t_fit, o_set or o_fit
     known: dict[bytes, tuple[int, int]] = {}

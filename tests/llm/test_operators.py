@@ -140,6 +140,16 @@ def test_toxicity_separates(spark, empty):
     assert toxicity.learn(docs, labels.limit(0), F.lit(True)).shares[0] == 0.0
 
 
+def test_both_dictionaries_are_trained_on_few_texts():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    plain = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(90)]
+    model = toxicity.fit([f"{x} nastything vileremark {x}" for x in plain[:30]], plain[30:], 0.3)
+    magic = b"\x37\xa4\x30\xec"
+    assert model.toxic.startswith(magic) and model.ordinary.startswith(magic)
+    assert sum(w.encode() in model.ordinary for w in vocabulary) > 30 and b"nastything" in model.toxic
+
+
 # 4 ------------------------------------------------------------------------------------------------
 def test_bpe_equals_the_library(docs, empty, texts):
     tiktoken = pytest.importorskip("tiktoken")
