@@ -18,8 +18,6 @@ from folioscope.llm.common import written
 
 #: Shorter lines are never removed.
 MIN_CHARS = 20
-#: Shorter lines are only compared for equality.
-MIN_NEAR_CHARS = 48
 THRESHOLD = 2
 
 
@@ -100,11 +98,11 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """a, b: ids of two distinct lines of at least MIN_NEAR_CHARS characters within the threshold.
+    """a, b: ids of two distinct lines of at least MIN_CHARS characters within the threshold.
 
     lines: id, line, one row per distinct line.
     """
-    rows = lines.filter(F.length("line") >= MIN_NEAR_CHARS).select("id", "line", F.length("line").alias("n"))
+    rows = lines.filter(F.length("line") >= MIN_CHARS).select("id", "line", F.length("line").alias("n"))
     index = rows.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("k"))
     probe = rows.select(F.col("id").alias("a"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), threshold))).alias("k"))
     probe = written(probe.join(index, (probe["k"] == index["k"]) & (probe["a"] != index["b"]), "left_semi"), "probes")
@@ -124,8 +122,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: i
 
     A line goes if an equal line stands in a document of smaller key or earlier in its own, or if a
     distinct line within the threshold first appears in a document of smaller key (of the same: has the smaller
-    hash). Lines shorter than MIN_CHARS always stay; those shorter than MIN_NEAR_CHARS are compared for
-    equality alone. Null texts stay null, empty ones empty; a null key counts as the largest. Rows that
+    hash). Lines shorter than MIN_CHARS always stay. Null texts stay null, empty ones empty; a null key counts as the largest. Rows that
     repeat a key are one document here: equal lines of theirs stay in each. No rows give no rows.
     """
     largest = F.lit(2**63 - 1)

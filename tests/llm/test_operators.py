@@ -315,6 +315,23 @@ def test_segments_find_every_near_line(spark):
     assert got == {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= 2}
 
 
+def test_short_lines_meet_in_the_edit_join(spark):
+    rng = random.Random(13)
+    lines = set()
+    for _ in range(12):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.randint(22, 47))]
+        lines.add("".join(base))
+        for edits in (1, 2, 3):
+            u = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(u))
+                u[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"]])
+            lines.add("".join(u))
+    lines = sorted(x for x in lines if len(x) >= 20)
+    got = {tuple(sorted((r.a, r.b))) for r in linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    assert got and got == {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= 2}
+
+
 def test_line_dedup(spark, empty):
     long_, close = "this line is long enough to be compared with another one", "this line is long enough to be compared with another two"[:-3] + "onf"
     data = rows(f"{long_}\nshort\nsecond line of the document", f"short\n{close}\nsecond line of the document", None, "", "twice in one document\ntwice in one document\nend") + [(None, f"{long_}\nx", None, None, None, None, None)]
