@@ -1,24 +1,43 @@
 """Line de-duplication by a segment-partition edit join, with DataFrame functions only.
 
-Equal lines are grouped first, so one row per distinct line remains. A line of l characters is cut into
-threshold + 1 segments; if two lines are within the threshold, one segment of the shorter occurs in the
-longer, shifted by no more than the edits before and behind it allow. Segments are indexed by
-(length, number, hash), and probes look up the few substrings that can match. Only lines that meet another one
-go on with their text; where they meet, Spark's banded levenshtein inside the join condition drops far
-pairs, so that a group of like lines does not become rows, and what is left is verified by a
-banded bit-parallel edit distance.
+Equal lines are grouped first, so one row per distinct line remains. A line is a sequence of symbols: of words
+if it has WORDS of them at least, of characters if it has fewer (lines close to that number are both). Lines
+are near if their edit distance is at most the threshold, which grows with the length of the shorter (STEPS).
+A line of n symbols is cut into threshold + 1 segments; if two lines are near, one segment of the
+shorter occurs in the longer, shifted by no more than the edits before and behind it allow. Segments are
+indexed by (length, number, hash), and probes look up the few runs of symbols that can match. Lines that meet
+no other drop out there. Of the others every bucket is first compared with its oldest line alone, and
+only lines that this does not settle are compared with all others, as one byte a symbol inside the join
+condition, so that a group of like lines does not become rows. What is left is verified by a banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import discard, written
+
+#: Lines of so many words are sequences of words, those of at most one more sequences of characters (too).
+WORDS = 8
+#: Threshold by number of symbols: (from so many on, edits); below the first, only equal lines are alike.
+STEPS = {"chars": ((8, 1), (40, 2)), "words": ((8, 1), (40, 2), (80, 3))}
+MOST = 3
+
+
+def threshold(mode: Column, n: Column) -> Column:
+    """Edits that a line of n symbols allows; mode is 0 for characters, 1 for words."""
+
+    def steps(name: str) -> Column:
+        out = F.lit(0)
+        for least, edits in STEPS[name]:
+            out = F.when(n >= least, edits).otherwise(out)
+        return out
 
-#: Shorter lines are never removed.
-MIN_CHARS = 20
-THRESHOLD = 2
+    return F.when(mode == 0, steps("chars")).otherwise(steps("words"))
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -29,119 +48,187 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
 
 
-def index_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
-    out = []
-    for i in range(threshold + 1):
-        start, size = _segment(length, i, threshold + 1)
-        out.append(F.xxhash64(F.lit(i), length, F.substring(line, start, size)))
-    return F.array(*out)
+def _by_threshold(t: Column, build: Callable[[int], list[Column]], least: int = 1) -> Column:
+    out = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for edits in range(max(least, 1), MOST + 1):
+        out = out.when(t == edits, F.array(*build(edits)))
+    return out.otherwise(F.array().cast("array<bigint>"))
 
 
-def probe_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
-    """Keys under which lines as long or up to threshold characters shorter may be indexed.
+def index_keys(mode: Column, symbols: Column, n: Column) -> Column:
+    def build(t: int) -> list[Column]:
+        cuts = [_segment(n, i, t + 1) for i in range(t + 1)]
+        return [F.xxhash64(F.lit(i), mode, n, F.slice(symbols, start, size)) for i, (start, size) in enumerate(cuts)]
+
+    return _by_threshold(threshold(mode, n), build)
+
+
+def probe_keys(mode: Column, symbols: Column, n: Column) -> Column:
+    """Keys under which near lines as long or shorter may be indexed.
 
     With segment i, at most i edits stand before it and at most threshold - i behind it.
     """
-    out = []
-    for less in range(threshold + 1):
-        other = (length - less).cast("int")
-        for i in range(threshold + 1):
-            start, size = _segment(other, i, threshold + 1)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(F.xxhash64(F.lit(i), other, F.substring(line, start + shift, size)))
-    return F.array(*out)
-
-
-def within(pairs: DataFrame, threshold: int = THRESHOLD, a: str = "a", b: str = "b") -> DataFrame:
-    """The rows of pairs whose texts a and b have an edit distance of threshold at most.
-
-    Bit t + d of word e says that i characters of a and i + d of b can be passed with e edits, |d| <= t. One
-    step per character of a moves all diagonals of the band at once: along a match, and from the word of
-    one edit less by replacing (same diagonal), dropping a's character (one down) or taking one of b (one up).
+    arrays = []
+    for less in range(MOST + 1):
+        other = (n - less).cast("int")
+
+        def build(t: int, less: int = less, other: Column = other) -> list[Column]:
+            out = []
+            for i in range(t + 1):
+                start, size = _segment(other, i, t + 1)
+                for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
+                    out.append(F.xxhash64(F.lit(i), mode, other, F.slice(symbols, start + shift, size)))
+            return out
+
+        arrays.append(_by_threshold(threshold(mode, other), build, less))
+    return F.array_distinct(F.concat(*arrays))
+
+
+def distance_within(a: Column, b: Column, t: Column, most: int = MOST) -> Column:
+    """Whether the arrays a and b have an edit distance of t at most (t <= most).
+
+    Bit most + d of word e says that i symbols of a and i + d of b can be passed with e edits, |d| <= most. One
+    step per symbol of a moves all diagonals of the band at once: along a match, and from the word of
+    one edit less by replacing (same diagonal), dropping a's symbol (one down) or taking one of b (one up).
     """
-    t, width = threshold, 2 * threshold + 1
+    width = 2 * most + 1
     full = (1 << width) - 1
-    near = pairs.filter(F.abs(F.length(a) - F.length(b)) <= t)
 
     def masks(both: Column) -> Column:
         def bits(i: Column) -> Column:
             out = F.lit(0)
-            for d in range(-t, t + 1):
-                out = out + F.when(F.get(both["b"], i + d) == F.get(both["a"], i), 1 << (t + d)).otherwise(0)
-                out = out + F.when((i + 1 + d >= 0) & (i + 1 + d <= both["m"]), 1 << (width + t + d)).otherwise(0)
+            for d in range(-most, most + 1):
+                out = out + F.when(F.get(both["b"], i + d) == F.get(both["a"], i), 1 << (most + d)).otherwise(0)
+                out = out + F.when((i + 1 + d >= 0) & (i + 1 + d <= both["m"]), 1 << (width + most + d)).otherwise(0)
             return out
 
         return F.when(both["n"] > 0, F.transform(F.sequence(F.lit(0), both["n"] - 1), bits)).otherwise(F.array().cast("array<int>"))
 
-    # bound as a lambda's variable, the characters are split once a pair, not once a step
-    both = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.length(a).alias("n"), F.length(b).alias("m"))
+    # bound as a lambda's variable, so that the arrays are made once a pair, not once a step
+    both = F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("n"), F.size(b).alias("m"))
     steps = F.flatten(F.transform(F.array(both), masks))
 
     def step(words: Column, mask: Column) -> Column:
         hit, ok = mask.bitwiseAND(F.shiftright(mask, width)), F.shiftright(mask, width)
         new = [words["w0"].bitwiseAND(hit)]
-        for e in range(1, t + 1):
+        for e in range(1, most + 1):
             before = words[f"w{e - 1}"]
             moved = words[f"w{e}"].bitwiseAND(hit).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
             new.append(moved.bitwiseAND(ok).bitwiseAND(full))
         return F.struct(*(x.alias(f"w{e}") for e, x in enumerate(new)))
 
-    start = F.struct(*(F.lit(sum(1 << (t + d) for d in range(e + 1))).alias(f"w{e}") for e in range(t + 1)))
-    last = F.aggregate(steps, start, step)[f"w{t}"]
-    ends = F.when(last.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.length(b) - F.length(a) + t)) != 0, True).otherwise(False)
-    return near.filter(ends)
+    start = F.struct(*(F.lit(sum(1 << (most + d) for d in range(e + 1))).alias(f"w{e}") for e in range(most + 1)))
+
+    def ends(words: Column) -> Column:
+        """The word of t edits, which holds the pair's own diagonal or not."""
+        out = words["w0"]
+        for e in range(1, most + 1):
+            out = F.when(t >= e, words[f"w{e}"]).otherwise(out)
+        return out
+
+    last = F.aggregate(steps, start, step, ends)
+    near = F.abs(F.size(a) - F.size(b)) <= t
+    return near & (last.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.when(near, F.size(b) - F.size(a) + most).otherwise(0))) != 0)
+
+
+def _modes(lines: DataFrame) -> DataFrame:
+    """id, first, mode, u (hashes of the symbols), n of every line that can be near another; some lines in both modes."""
+    words = F.size(F.split("line", " "))
 
+    def units(mode: int, sep: str) -> Column:
+        return F.struct(F.lit(mode).alias("mode"), F.transform(F.split("line", sep), lambda x: F.xxhash64(x)).alias("u"))
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key and line of every line (split at \\n) of at least MIN_CHARS characters."""
-    return docs.select(docs[key].cast("long").alias("key"), F.explode(F.split(docs[text], "\n")).alias("line")).filter(F.length("line") >= MIN_CHARS)
+    chars, whole = F.array(units(0, "")), F.array(units(1, " "))
+    both = F.when(words < WORDS, chars).when(words <= WORDS + 1, F.concat(chars, whole)).otherwise(whole)
+    rows = lines.select("id", "first", F.explode(both).alias("x")).select("id", "first", "x.mode", "x.u")
+    return rows.withColumn("n", F.size("u")).filter(threshold(F.col("mode"), F.col("n")) > 0)
 
 
-def near_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """a, b: ids of two distinct lines of at least MIN_CHARS characters within the threshold.
+def near_lines(lines: DataFrame) -> DataFrame:
+    """id of every line that is near a line that comes before it in the order of (first, id).
 
-    lines: id, line, one row per distinct line.
+    lines: id, line, first; one row per distinct line.
     """
-    rows = lines.filter(F.length("line") >= MIN_CHARS).select("id", "line", F.length("line").alias("n"))
-    index = rows.select(F.col("id").alias("b"), F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("k"))
-    probe = rows.select(F.col("id").alias("a"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), threshold))).alias("k"))
-    probe = written(probe.join(index, (probe["k"] == index["k"]) & (probe["a"] != index["b"]), "left_semi"), "probes")
-    index = written(index.join(probe, "k", "left_semi"), "indexed")
-    ids = probe.select(F.col("a").alias("id")).union(index.select(F.col("b").alias("id"))).distinct()
-    texts = written(rows.select("id", "line").join(ids, "id", "left_semi"), "texts")
-    one = probe.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    two = index.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    near = (one["k"] == two["k"]) & (one["a"] != two["b"]) & (F.levenshtein("x", "y", threshold) >= 0)
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = one.join(two, near).select("a", "b", "x", "y").repartition(parts, "a", "b").dropDuplicates(["a", "b"])
-    return within(found, threshold, "x", "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    rows = _modes(lines)
+    keyed = (F.col("mode"), F.col("u"), F.col("n"))
+    index = rows.select(F.col("id").alias("b"), "mode", F.explode(index_keys(*keyed)).alias("k"))
+    probe = rows.select(F.col("id").alias("a"), "mode", F.explode(probe_keys(*keyed)).alias("k"))
+    probe = written(probe.join(index.select("b", F.col("k").alias("k2")), (F.col("k") == F.col("k2")) & (F.col("a") != F.col("b")), "left_semi"), "probes")
+    index = written(index.join(probe.select("k").distinct(), "k", "left_semi"), "indexed")
+    ids = probe.select(F.col("a").alias("id"), "mode").union(index.select(F.col("b").alias("id"), "mode")).distinct()
+    code = F.array_join(F.transform("u", lambda x: F.chr((F.pmod(x, F.lit(127)) + 1).cast("int"))), "")
+    texts = written(rows.join(ids, ["id", "mode"], "left_semi").select("id", "mode", "first", "u", code.alias("code")), "units")
+
+    def side(table: DataFrame, name: str, as_: str) -> DataFrame:
+        """k, and as_: the order, the mode and the code of the line of name."""
+        about = texts.select(F.col("id").alias(name), "mode", "first", "code")
+        return table.join(about, [name, "mode"]).select("k", F.struct("first", F.col(name).alias("id"), "mode", "code").alias(as_))
+
+    def alike(x: str, y: str) -> Column:
+        """Whether the codes, and so perhaps the lines, are within the threshold."""
+        edits = threshold(F.col(f"{x}.mode"), F.least(F.length(f"{x}.code"), F.length(f"{y}.code")))
+        return F.call_function("levenshtein", F.col(f"{x}.code"), F.col(f"{y}.code"), edits) >= 0
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """id of the later line of those pairs (id, other, mode) that are near."""
+        one = texts.select("id", "mode", F.col("u").alias("x"))
+        two = texts.select(F.col("id").alias("other"), "mode", F.col("u").alias("y"))
+        parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = pairs.join(one, ["id", "mode"]).join(two, ["other", "mode"]).repartition(parts, "id", "other")
+        edits = threshold(F.col("mode"), F.least(F.size("x"), F.size("y")))
+        return both.filter(distance_within(F.col("x"), F.col("y"), edits)).select("id").distinct()
+
+    one, two = side(probe, "a", "p"), side(index, "b", "q")
+    members = one.select("k", F.col("p").alias("m")).union(two.select("k", F.col("q").alias("m")))
+    oldest = members.groupBy("k").agg(F.min("m").alias("c"))
+    stars = members.join(oldest, "k").filter((F.col("m.id") != F.col("c.id")) & alike("m", "c"))
+    settled = written(verified(stars.select("m.id", F.col("c.id").alias("other"), "m.mode").distinct()), "settled")
+    done = settled.withColumn("done", F.lit(True))
+
+    def open_(table: DataFrame, name: str) -> DataFrame:
+        return table.join(done, F.col(f"{name}.id") == done["id"], "left").select("k", name, F.col("done").isNull().alias(f"open_{name}"))
+
+    left, right = open_(one, "p"), open_(two, "q").withColumnRenamed("k", "k2")
+    later = F.when(F.struct("p.first", "p.id") > F.struct("q.first", "q.id"), F.col("open_p")).otherwise(F.col("open_q"))
+    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("p.id") != F.col("q.id")) & later & alike("p", "q"))
+    pairs = met.select(F.when(F.struct("p.first", "p.id") > F.struct("q.first", "q.id"), F.struct(F.col("p.id").alias("id"), F.col("q.id").alias("other"))).otherwise(F.struct(F.col("q.id").alias("id"), F.col("p.id").alias("other"))).alias("x"), "p.mode")
+    return settled.union(verified(pairs.select("x.id", "x.other", "mode").distinct())).distinct()
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """All columns of docs with repeated and nearly repeated lines taken out of text, and removed (array of line numbers from 0).
 
-    A line goes if an equal line stands in a document of smaller key or earlier in its own, or if a
-    distinct line within the threshold first appears in a document of smaller key (of the same: has the smaller
-    hash). Lines shorter than MIN_CHARS always stay. Null texts stay null, empty ones empty; a null key counts as the largest. Rows that
-    repeat a key are one document here: equal lines of theirs stay in each. No rows give no rows.
+    Rows come in the order of key (null last) and a hash of the text. A line (what stands between \\n) goes if an
+    equal line stands in an earlier row or earlier in its own, or if a near line (see above) first
+    appears earlier (in the same row: has the smaller hash). Lines of white space alone always stay. Null texts
+    stay null, empty ones empty. Rows of equal key but different texts, or of null keys, are documents of their
+    own; rows that repeat key and text are one document, so all of them keep the same lines. A column named as
+    removed is replaced. No rows give no rows.
     """
-    largest = F.lit(2**63 - 1)
-    names = docs.columns
-    grouped = lines_of(docs, key, text).groupBy("line").agg(F.min(F.coalesce("key", largest)).alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = written(grouped.select(F.xxhash64("line").alias("id"), "line", "first", "times"), "lines")
-    order = lines.select("id", "first")
-    links = near_lines(lines, threshold)
-    placed = links.join(order.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(order.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    later = F.when(F.struct("fa", "a") > F.struct("fb", "b"), F.col("a")).otherwise(F.col("b"))
-    near = written(placed.select(later.alias("id")).distinct(), "near")
-    repeated = lines.filter("times > 1").select("id", "first").join(near.withColumn("near", F.lit(True)), "id", "full").select("id", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    row = F.struct(docs[key].isNull().alias("no"), F.coalesce(docs[key].cast("long"), F.lit(0)).alias("key"), F.xxhash64(docs[text]).alias("mark"))
+    spots = docs.select(row.alias("row"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    id_ = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    grouped = spots.groupBy("line").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times"))
+    lines = written(grouped.select(id_.alias("id"), "line", "first", "times"), "lines")
+    near = written(near_lines(lines), "near").withColumn("near", F.lit(True))
+    repeated = lines.filter("times > 1").select("id", "first").join(near, "id", "full").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
-    spots = docs.select(F.coalesce(docs[key].cast("long"), largest).alias("key"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line")).filter(F.length("line") >= MIN_CHARS)
-    hits = spots.select("key", "pos", F.xxhash64("line").alias("id")).join(repeated, "id")
-    out = hits.groupBy("key", "id").agg(F.first("first").alias("first"), F.first("near").alias("near"), F.array_sort(F.collect_set("pos")).alias("at"))
-    gone = F.when(F.col("near") | (F.col("first") != F.col("key")), F.col("at")).otherwise(F.slice("at", F.lit(2), F.size("at")))
-    gone = out.select("key", gone.alias("gone")).filter(F.size("gone") > 0).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("gone"))).alias("removed"))
-    tagged = docs.select(*(docs[c] for c in names), F.coalesce(docs[key].cast("long"), largest).alias("line dedup key")).join(gone.withColumnRenamed("key", "line dedup key"), "line dedup key", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    fields = [(F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c)) for c in names]
-    return tagged.select(*fields, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    discard(lines)
+    hits = spots.select("row", "pos", id_.alias("id")).join(repeated, "id")
+    own = ~F.col("near") & F.coalesce(F.col("first") == F.col("row"), F.lit(False))
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("id", "pos", own.alias("own")))).alias("found"))
+
+    def out(all_: Column) -> Column:
+        """Of a line's own first row the first occurrence stays."""
+        gone = F.filter(all_, lambda x, i: ~x["own"] | F.coalesce(F.get(all_, i - 1)["id"] == x["id"], F.lit(False)))
+        return F.array_sort(F.transform(gone, lambda x: x["pos"]))
+
+    gone = found.select("row", F.transform(F.array("found"), out)[0].alias("gone")).filter(F.size("gone") > 0)
+    names = [c for c in docs.columns if c != removed]
+    tagged = docs.select(F.struct(*(docs[c] for c in names)).alias("all"), row.alias("row")).join(gone, "row", "left")
+    lost, whole = F.col("gone"), F.split(F.col("all")[text], "\n")
+    # runs of lines that stay, each followed by one that goes; array_join passes over nulls
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), lost), F.concat(lost, F.array(F.size(whole))), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))))
+    kept = F.array_join(F.zip_with(whole, F.flatten(runs), lambda line, stays: F.when(stays, line)), "\n")
+    fields = [(F.when(lost.isNull(), F.col("all")[c]).otherwise(kept) if c == text else F.col("all")[c]).alias(c) for c in names]
+    return tagged.select(*fields, F.coalesce(lost, F.array().cast("array<int>")).alias(removed))

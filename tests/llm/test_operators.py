@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, fingerprint, html, linededup, minhash, mixing, pylm, toxicity
+from folioscope.llm import ann, bpe, chat, fingerprint, html, minhash, mixing, pylm, toxicity
 from folioscope.llm.common import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int"
@@ -275,72 +275,6 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
-# 8 ------------------------------------------------------------------------------------------------
-def distance(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        q = [i + 1]
-        for j, y in enumerate(b):
-            q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
-        p = q
-    return p[-1]
-
-
-def test_bit_parallel_distance(spark):
-    rng = random.Random(10)
-    pairs = set()
-    for _ in range(300):
-        a = [rng.choice("abé") for _ in range(rng.randint(0, 9))]
-        b = list(a)
-        for _ in range(rng.randint(0, 4)):
-            at = rng.randint(0, len(b))
-            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["c"]])
-        pairs.add(("".join(a), "".join(b)))
-    got = {tuple(r) for r in linededup.within(spark.createDataFrame(list(pairs), "a string, b string")).collect()}
-    assert got == {p for p in pairs if distance(*p) <= 2}
-
-
-def test_segments_find_every_near_line(spark):
-    rng = random.Random(11)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(48, 60))) for _ in range(12)]
-    lines = set(base)
-    for t in base * 6:
-        u = list(t)
-        for _ in range(rng.randint(1, 3)):
-            at = rng.randrange(len(u))
-            u[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"]])
-        lines.add("".join(u))
-    lines = sorted(x for x in lines if len(x) >= 48)
-    got = {tuple(sorted((r.a, r.b))) for r in linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
-    assert got == {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= 2}
-
-
-def test_short_lines_meet_in_the_edit_join(spark):
-    rng = random.Random(13)
-    lines = set()
-    for _ in range(12):
-        base = [rng.choice("abcdefgh ") for _ in range(rng.randint(22, 47))]
-        lines.add("".join(base))
-        for edits in (1, 2, 3):
-            u = list(base)
-            for _ in range(edits):
-                at = rng.randrange(len(u))
-                u[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"]])
-            lines.add("".join(u))
-    lines = sorted(x for x in lines if len(x) >= 20)
-    got = {tuple(sorted((r.a, r.b))) for r in linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
-    assert got and got == {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= 2}
-
-
-def test_line_dedup(spark, empty):
-    long_, close = "this line is long enough to be compared with another one", "this line is long enough to be compared with another two"[:-3] + "onf"
-    data = rows(f"{long_}\nshort\nsecond line of the document", f"short\n{close}\nsecond line of the document", None, "", "twice in one document\ntwice in one document\nend") + [(None, f"{long_}\nx", None, None, None, None, None)]
-    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(data, SCHEMA)).collect()}
-    assert got[0].removed == [] and got[1].text == "short" and got[1].removed == [1, 2]
-    assert got[2].text is None and got[3].text == "" and got[4].text == "twice in one document\nend" and got[None].text == "x"
-    assert linededup.dedup(empty).count() == 0
-
-
 # 9 ------------------------------------------------------------------------------------------------
 def test_fingerprints(docs, empty, texts):
     got = {r.doc_id: r for r in fingerprint.compare_edited(docs).collect()}
