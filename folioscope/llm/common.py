@@ -42,11 +42,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; removed when the driver ends."""
+    """Writes df as Parquet into the shared folder and reads it back; removed when the driver ends.
+
+    Asks for the driver's garbage, so that the shuffle files of finished plans do not stay on the executors' disks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,6 @@ bit-parallel edit distance.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,48 +38,38 @@ def threshold(mode: Column, n: Column) -> Column:
     return F.when(mode == 0, steps("chars")).otherwise(steps("words"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of parts; the longer segments come last."""
-    base, rest = F.floor(length / parts).cast("int"), length % parts
-    short = parts - rest
-    start = F.lit(i) * base + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-    return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
-
-
-def _by_threshold(t: Column, build: Callable[[int], list[Column]], least: int = 1) -> Column:
-    out = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for edits in range(max(least, 1), MOST + 1):
-        out = out.when(t == edits, F.array(*build(edits)))
-    return out.otherwise(F.array().cast("array<bigint>"))
-
-
-def index_keys(mode: Column, symbols: Column, n: Column) -> Column:
-    def build(t: int) -> list[Column]:
-        cuts = [_segment(n, i, t + 1) for i in range(t + 1)]
-        return [F.xxhash64(F.lit(i), mode, n, F.slice(symbols, start, size)) for i, (start, size) in enumerate(cuts)]
+def _specs(t: int, own: bool) -> Column:
+    """(less, t, i, shift) of all runs of symbols that a line of threshold t looks up, or (own) is indexed under.
 
-    return _by_threshold(threshold(mode, n), build)
+    Lines that are `less` symbols shorter may have a threshold of one edit less. Of the edits, at most i stand before
+    segment i and at most t - i behind it.
+    """
+    found = []
+    for edits in (t,) if own else (t, t - 1):
+        for less in range(t - edits, 1 if own else edits + 1):
+            for i in range(edits + 1):
+                for shift in range(0 if own else max(-i, less - (edits - i)), 1 if own else min(i, less + (edits - i)) + 1):
+                    if edits:
+                        found.append((less, edits, i, shift))
+    return F.array(*(F.struct(*(F.lit(v).alias(name) for v, name in zip(x, ("less", "t", "i", "shift"), strict=True))) for x in found))
 
 
-def probe_keys(mode: Column, symbols: Column, n: Column) -> Column:
-    """Keys under which near lines as long or shorter may be indexed.
+def keys(rows: DataFrame, own: bool) -> DataFrame:
+    """node, k: hashes of the segments (own), or of all runs of symbols where a near line, as long or shorter, may have one.
 
-    With segment i, at most i edits stand before it and at most threshold - i behind it.
+    The segments of a line are as equal as can be, the longer ones last. rows: node, mode, line.
     """
-    arrays = []
-    for less in range(MOST + 1):
-        other = (n - less).cast("int")
-
-        def build(t: int, less: int = less, other: Column = other) -> list[Column]:
-            out = []
-            for i in range(t + 1):
-                start, size = _segment(other, i, t + 1)
-                for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                    out.append(F.xxhash64(F.lit(i), mode, other, F.slice(symbols, start + shift, size)))
-            return out
-
-        arrays.append(_by_threshold(threshold(mode, other), build, less))
-    return F.array_distinct(F.concat(*arrays))
+    symbols = F.when(F.col("mode") == 0, F.split("line", "")).otherwise(F.split("line", " "))
+    # used twice below the explosion, u is made once a line; used only above it, it would be made again for every run
+    rows = rows.select("node", "mode", symbols.alias("u")).withColumn("n", F.size("u"))
+    t = threshold(F.col("mode"), F.col("n"))
+    specs = F.when(t == 1, _specs(1, own)).when(t == 2, _specs(2, own)).otherwise(_specs(3, own))
+    each = rows.select("node", "mode", "n", "u", F.explode(specs).alias("s"))
+    each = each.select("node", "mode", "u", (F.col("n") - F.col("s.less")).alias("n"), "s").filter(threshold(F.col("mode"), F.col("n")) == F.col("s.t"))
+    parts, i = F.col("s.t") + 1, F.col("s.i")
+    base, short = F.floor(F.col("n") / parts).cast("int"), parts - F.col("n") % parts
+    start, size = i * base + F.greatest(i - short, F.lit(0)) + 1 + F.col("s.shift"), base + (i >= short).cast("int")
+    return each.select("node", F.xxhash64(i, "mode", "n", F.slice("u", start, size)).alias("k"))
 
 
 def distance_within(a: Column, b: Column, t: Column, most: int = MOST) -> Column:
@@ -131,38 +119,40 @@ def distance_within(a: Column, b: Column, t: Column, most: int = MOST) -> Column
     return near & (last.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.when(near, F.size(b) - F.size(a) + most).otherwise(0))) != 0)
 
 
-def _modes(lines: DataFrame) -> DataFrame:
-    """id, first, mode, u (hashes of the symbols), n of every line that can be near another; some lines in both modes."""
-    words = F.size(F.split("line", " "))
+def word_number(line: Column) -> Column:
+    """Number of the words of a line: what stands between spaces."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
-    def units(mode: int, sep: str) -> Column:
-        return F.struct(F.lit(mode).alias("mode"), F.transform(F.split("line", sep), lambda x: F.xxhash64(x)).alias("u"))
 
-    chars, whole = F.array(units(0, "")), F.array(units(1, " "))
-    both = F.when(words < WORDS, chars).when(words <= WORDS + 1, F.concat(chars, whole)).otherwise(whole)
-    rows = lines.select("id", "first", F.explode(both).alias("x")).select("id", "first", "x.mode", "x.u")
-    return rows.withColumn("n", F.size("u")).filter(threshold(F.col("mode"), F.col("n")) > 0)
+def _modes(lines: DataFrame) -> DataFrame:
+    """node (twice the id, plus the mode), mode, line, n of every line that can be near another; some lines in both modes."""
+    words = F.col("words")
+    as_ = [F.struct(F.lit(0).alias("mode"), F.length("line").alias("n")), F.struct(F.lit(1).alias("mode"), words.alias("n"))]
+    both = F.when(words < WORDS, F.array(as_[0])).when(words <= WORDS + 1, F.array(*as_)).otherwise(F.array(as_[1]))
+    rows = lines.select("id", "first", "line", F.explode(both).alias("x")).filter(threshold(F.col("x.mode"), F.col("x.n")) > 0)
+    return rows.select((F.col("id") * 2 + F.col("x.mode")).alias("node"), "id", "first", "x.mode", "line", "x.n")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """id of every line that is near a line that comes before it in the order of (first, id).
 
-    lines: id, line, first; one row per distinct line.
+    lines: id (below 2^62), line, words (as of word_number), first; one row per distinct line.
     """
     rows = _modes(lines)
-    keyed = (F.col("mode"), F.col("u"), F.col("n"))
-    index = rows.select(F.col("id").alias("b"), "mode", F.explode(index_keys(*keyed)).alias("k"))
-    probe = rows.select(F.col("id").alias("a"), "mode", F.explode(probe_keys(*keyed)).alias("k"))
-    probe = written(probe.join(index.select("b", F.col("k").alias("k2")), (F.col("k") == F.col("k2")) & (F.col("a") != F.col("b")), "left_semi"), "probes")
-    index = written(index.join(probe.select("k").distinct(), "k", "left_semi"), "indexed")
-    ids = probe.select(F.col("a").alias("id"), "mode").union(index.select(F.col("b").alias("id"), "mode")).distinct()
+    index, probe = keys(rows, True).toDF("b", "k2"), keys(rows, False).toDF("a", "k")
+    # an index row is a probe row of its own line, too, so only rows of other lines count
+    probe = written(probe.join(index, (F.col("k") == F.col("k2")) & (F.col("a") != F.col("b")), "left_semi").distinct(), "probes")
+    index = written(index.join(probe, F.col("k2") == F.col("k"), "left_semi").select("b", F.col("k2").alias("k")), "indexed")
+    ids = probe.select(F.col("a").alias("node")).union(index.select(F.col("b").alias("node"))).distinct()
+    symbols = F.transform(F.when(F.col("mode") == 0, F.split("line", "")).otherwise(F.split("line", " ")), lambda x: F.xxhash64(x))
     code = F.array_join(F.transform("u", lambda x: F.chr((F.pmod(x, F.lit(127)) + 1).cast("int"))), "")
-    texts = written(rows.join(ids, ["id", "mode"], "left_semi").select("id", "mode", "first", "u", code.alias("code")), "units")
+    some = rows.join(ids, "node", "left_semi").select("node", "id", "mode", "first", symbols.alias("u"))
+    texts = written(some.withColumn("code", code), "units")
 
     def side(table: DataFrame, name: str, as_: str) -> DataFrame:
         """k, and as_: the order, the mode and the code of the line of name."""
-        about = texts.select(F.col("id").alias(name), "mode", "first", "code")
-        return table.join(about, [name, "mode"]).select("k", F.struct("first", F.col(name).alias("id"), "mode", "code").alias(as_))
+        about = texts.select(F.col("node").alias(name), F.struct("first", "id", "node", "mode", "code").alias(as_))
+        return table.join(about, name).select("k", as_)
 
     def alike(x: str, y: str) -> Column:
         """Whether the codes, and so perhaps the lines, are within the threshold."""
@@ -170,11 +160,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
         return F.call_function("levenshtein", F.col(f"{x}.code"), F.col(f"{y}.code"), edits) >= 0
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """id of the later line of those pairs (id, other, mode) that are near."""
-        one = texts.select("id", "mode", F.col("u").alias("x"))
-        two = texts.select(F.col("id").alias("other"), "mode", F.col("u").alias("y"))
+        """id of the later line of those pairs of nodes (a, b; a the later) that are near."""
+        one = texts.select(F.col("node").alias("a"), "id", "mode", F.col("u").alias("x"))
+        two = texts.select(F.col("node").alias("b"), F.col("u").alias("y"))
         parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        both = pairs.join(one, ["id", "mode"]).join(two, ["other", "mode"]).repartition(parts, "id", "other")
+        both = pairs.join(one, "a").join(two, "b").repartition(parts, "a", "b")
         edits = threshold(F.col("mode"), F.least(F.size("x"), F.size("y")))
         return both.filter(distance_within(F.col("x"), F.col("y"), edits)).select("id").distinct()
 
@@ -182,17 +172,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     members = one.select("k", F.col("p").alias("m")).union(two.select("k", F.col("q").alias("m")))
     oldest = members.groupBy("k").agg(F.min("m").alias("c"))
     stars = members.join(oldest, "k").filter((F.col("m.id") != F.col("c.id")) & alike("m", "c"))
-    settled = written(verified(stars.select("m.id", F.col("c.id").alias("other"), "m.mode").distinct()), "settled")
+    settled = written(verified(stars.select(F.col("m.node").alias("a"), F.col("c.node").alias("b")).distinct()), "settled")
     done = settled.withColumn("done", F.lit(True))
 
     def open_(table: DataFrame, name: str) -> DataFrame:
         return table.join(done, F.col(f"{name}.id") == done["id"], "left").select("k", name, F.col("done").isNull().alias(f"open_{name}"))
 
     left, right = open_(one, "p"), open_(two, "q").withColumnRenamed("k", "k2")
-    later = F.when(F.struct("p.first", "p.id") > F.struct("q.first", "q.id"), F.col("open_p")).otherwise(F.col("open_q"))
-    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("p.id") != F.col("q.id")) & later & alike("p", "q"))
-    pairs = met.select(F.when(F.struct("p.first", "p.id") > F.struct("q.first", "q.id"), F.struct(F.col("p.id").alias("id"), F.col("q.id").alias("other"))).otherwise(F.struct(F.col("q.id").alias("id"), F.col("p.id").alias("other"))).alias("x"), "p.mode")
-    return settled.union(verified(pairs.select("x.id", "x.other", "mode").distinct())).distinct()
+    after = F.struct("p.first", "p.id") > F.struct("q.first", "q.id")
+    met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("p.id") != F.col("q.id")) & F.when(after, F.col("open_p")).otherwise(F.col("open_q")) & alike("p", "q"))
+    a, b = F.when(after, F.col("p.node")).otherwise(F.col("q.node")), F.when(after, F.col("q.node")).otherwise(F.col("p.node"))
+    return settled.union(verified(met.select(a.alias("a"), b.alias("b")).distinct())).distinct()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
@@ -207,14 +197,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     """
     row = F.struct(docs[key].isNull().alias("no"), F.coalesce(docs[key].cast("long"), F.lit(0)).alias("key"), F.xxhash64(docs[text]).alias("mark"))
     spots = docs.select(row.alias("row"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    id_ = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    mark = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     grouped = spots.groupBy("line").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = written(grouped.select(id_.alias("id"), "line", "first", "times"), "lines")
+    lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "line", word_number(F.col("line")).alias("words"), "first", "times"), "lines")
     near = written(near_lines(lines), "near").withColumn("near", F.lit(True))
-    repeated = lines.filter("times > 1").select("id", "first").join(near, "id", "full").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    repeated = lines.join(near, "id", "left").filter("times > 1 or near").select(mark.alias("mark"), "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
     discard(lines)
-    hits = spots.select("row", "pos", id_.alias("id")).join(repeated, "id")
+    hits = spots.select("row", "pos", mark.alias("mark")).join(repeated, "mark").withColumnRenamed("mark", "id")
     own = ~F.col("near") & F.coalesce(F.col("first") == F.col("row"), F.lit(False))
     found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("id", "pos", own.alias("own")))).alias("found"))
 
