@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import map_slices
+from folioscope.llm.common import cache, map_slices
 
 _ROOT = 0
 
@@ -38,12 +38,12 @@ class MergeTransducer:
     #: Positions after which settled tokens are emitted and forgotten.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 1_500_000):
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 600_000, max_moves: int = 400_000):
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 2
         self.spelling = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.max_pairs = max_pairs
+        self.max_pairs, self.max_moves = max_pairs, max_moves
         self.child: dict[int, int] = {}
         self.text_of = [b""]
         self.node_of = {b"": _ROOT}
@@ -125,6 +125,8 @@ class MergeTransducer:
         if nxt not in self.ending:
             full = self.text_of[nxt]
             self.ending[nxt] = tuple((len(full) - k, self.ranks[full[k:]]) for k in range(len(full)) if full[k:] in self.ranks)
+        if len(self.moves) >= self.max_moves:
+            self.moves.clear()
         move = self.moves[state << 8 | byte] = (nxt << 8, self.ending[nxt])
         return move
 
@@ -224,7 +226,7 @@ class Utf8Decoder:
 class Codec:
     """Encodes and decodes whole texts; ids travel as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 120_000):
         self.machine = MergeTransducer(ranks)
         self.find = regex.compile(pattern).findall
         self.vocabulary = [self.machine.spelling.get(i, b"") for i in range(max(self.machine.spelling, default=-1) + 1)]
@@ -266,6 +268,7 @@ class Codec:
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
+cache("bpe", _codecs.clear)
 
 
 def _codec(data: bytes, pattern: str) -> Codec:
@@ -291,7 +294,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", tex
         return pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    return map_slices(rows, run, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("key", key)
+    return map_slices(rows, run, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary", "bpe").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -305,4 +308,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", ids
         return pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.string())], ["key", "n_tokens", "ids", "decoded"])
 
     rows = df.select(df[key].alias("key"), df["n_tokens"], df[ids].alias("ids"))
-    return map_slices(rows, run, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
+    return map_slices(rows, run, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary, decoded string", "bpe").withColumnRenamed("key", key)

@@ -16,6 +16,20 @@ SLICE_BYTES = 4 << 20
 
 _local_dir: str | None = None
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    """Announces what a Python worker keeps between tasks for operator name, and how to drop it."""
+    _caches[name] = clear
+
+
+def enter(name: str) -> None:
+    """Called where a task of operator name begins: workers live on, so the other operators' caches go."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -85,10 +99,11 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over slices of bounded size; fn maps one slice to one record batch."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, name: str) -> DataFrame:
+    """mapInArrow over slices of bounded size, for operator name; fn maps one slice to one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(name)
         for part in slices(batches):
             yield fn(part)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import slices, words
+from folioscope.llm.common import cache, enter, slices, words
 
 #: Bytes of text that one task sorts and streams through, roughly.
 RANGE_BYTES = 8 << 20
@@ -110,6 +110,7 @@ def edited(text: str, following: str) -> str:
 
 
 _samplers: dict[tuple[int, int], WeightedSampler] = {}
+cache("fingerprint", _samplers.clear)
 
 
 def _sampler(samples: int, seed: int) -> WeightedSampler:
@@ -123,6 +124,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", samples
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("fingerprint")
         sampler = _sampler(samples, seed)
         for part in slices(batches):
             yield pa.record_batch([part.column(0), pa.array([fingerprint_hex(sampler, t or "") for t in part.column(1).to_pylist()])], ["key", "fingerprint"])
@@ -167,6 +169,7 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("fingerprint")
         sampler = _sampler(samples, seed)
         held: tuple | None = None
 

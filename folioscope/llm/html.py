@@ -282,4 +282,4 @@ def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> Dat
         return pa.record_batch([part.column(0), pa.array([render(x) for x in part.column(1).to_pylist()], pa.string())], ["key", "text"])
 
     rows = pages.select(pages[key].alias("key"), pages[source].alias("source"))
-    return map_slices(rows, run, f"key {pages.schema[key].dataType.simpleString()}, text string").withColumnRenamed("key", key)
+    return map_slices(rows, run, f"key {pages.schema[key].dataType.simpleString()}, text string", "html").withColumnRenamed("key", key)
