@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint
+from folioscope.llm.common import discard, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, comp (least node reachable) for every node of edges (a, b); loops and repeats do not matter.
 
     Least neighbours are pre-aggregated before they are shuffled, and a node of very many links is
-    split by the skew handling of the join. Lineage is cut each round.
+    split by the skew handling of the join. Each round is written, and the one before removed.
     """
-    now = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     mark = None
@@ -24,7 +24,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == mark:
             break

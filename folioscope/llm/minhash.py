@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, discard, map_slices, words, written
+from folioscope.llm.common import cache, discard, enter, map_slices, words, written
 from folioscope.llm.graph import components
 
 BINS, BANDS = 128, 32
 #: Agreeing bins that a pair needs in order to be verified: at similarity 0.8, fewer have probability 1e-7.
 LEAST_AGREE = 76
-#: Classes in a block of the last, blockwise comparison.
-BLOCK = 256
+#: Classes in a block of the last, blockwise comparison, and bytes of their sets, on average.
+BLOCK, BLOCK_BYTES = 2048, 24 << 20
 STAR_ROUNDS = 1
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -51,6 +51,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+cache("minhash", _hashes.clear)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -99,7 +100,7 @@ def _describe(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             marks.append(sketch(s).tobytes() if len(s) else None)
         return pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(marks, pa.binary())], ["id", "n", "same", "sketch"])
 
-    return map_slices(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")), run, "id long, n long, same binary, sketch binary")
+    return map_slices(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")), run, "id long, n long, same binary, sketch binary", "minhash")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -112,7 +113,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> Da
 
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     rows = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-    return map_slices(rows, run, "id long, same binary, items binary").join(wanted, ["id", "same"], "left_semi").dropDuplicates(["id"])
+    return map_slices(rows, run, "id long, same binary, items binary", "minhash").join(wanted, ["id", "same"], "left_semi").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -125,7 +126,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return map_slices(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long")
+    return map_slices(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y"), run, "a long, b long", "minhash")
 
 
 def _overlap(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -140,38 +141,35 @@ def _overlap(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def _tiles(families: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between components of one family, block of BLOCK classes against block.
+    """Verified links (a, b) between components of one family, block against block.
 
-    families: id, comp, family. What the sketches rule out is not verified, nor what a tile has linked already;
-    only links leave a tile.
+    families: id, comp, family. A block has BLOCK classes or BLOCK_BYTES of sets, about. What the sketches rule out is not
+    verified, nor what a tile has linked already; only links leave a tile.
     """
-    counts = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = families.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(marks.select("id", "sketch"), "id").join(sets.select("id", "items"), "id")
+    held = families.join(sets.select("id", "items"), "id").join(marks.select("id", "sketch"), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("items")) / BLOCK_BYTES)).cast("int")
+    dealt = held.join(held.groupBy("family").agg(blocks.alias("blocks")), "family")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sided = dealt.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "id", "comp", "sketch", "items")
     sided = sided.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "comp", "sketch", "items")
 
     def run(key: tuple, batch: pa.Table) -> pa.Table:
+        enter("minhash")
         batch = batch.combine_chunks()
         i, j = key[1].as_py(), key[2].as_py()
-        ids, block = batch["id"].to_numpy(), batch["block"].to_numpy()
-        root = {c: c for c in batch["comp"].to_pylist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        comp = batch["comp"].to_pylist()
+        ids, block, comp = batch["id"].to_numpy(), batch["block"].to_numpy(), batch["comp"].to_numpy().copy()
         x = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(len(ids), BINS)
         items = [np.frombuffer(v.as_buffer(), "<u8") for v in batch["items"]]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for u in left:
-            for v in right[((x[right] == x[u]).sum(axis=1) >= LEAST_AGREE) & (ids[right] > ids[u] if i == j else True)]:
-                p, q = find(comp[u]), find(comp[v])
-                if p != q and _overlap(items[u], items[v], percent):
-                    root[max(p, q)] = min(p, q)
+            far = right[comp[right] != comp[u]]
+            if i == j:
+                far = far[ids[far] > ids[u]]
+            for v in far[(x[far] == x[u]).sum(axis=1) >= LEAST_AGREE]:
+                if comp[u] != comp[v] and _overlap(items[u], items[v], percent):
+                    low, high = sorted((comp[u], comp[v]))
+                    comp[comp == high] = low
                     a.append(min(ids[u], ids[v]))
                     b.append(max(ids[u], ids[v]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -205,28 +203,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     groups = written(bands.join(shared, "band").select("band", "id", "centre"), "groups")
     involved = groups.select("id").distinct().join(marks.select("id", "same"), "id")
     sets = written(_sets(docs, involved, key, text, k), "sets")
-    tried = pairs = checkpoint(groups.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    links = checkpoint(_verify(pairs, sets, percent))
+    tried = pairs = written(groups.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = written(_verify(pairs, sets, percent), "links")
     comps = components(links)
     for turn in range(STAR_ROUNDS + 1):
         labelled = groups.select("band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
         # every band takes a centre of its own, so that a wide group is seen from many sides in one turn
         centre = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "id").alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp")))
         mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), centre.alias("centre")).filter("low <> high")
-        mixed = checkpoint(mixed.select("band", F.col("centre.id").alias("centre"), F.col("centre.comp").alias("centre_comp")))
+        mixed = written(mixed.select("band", F.col("centre.id").alias("centre"), F.col("centre.comp").alias("centre_comp")), "mixed")
         if mixed.isEmpty():
             break
         open_ = labelled.join(mixed, "band")
         if turn == STAR_ROUNDS:
             near = components(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")))
             families = open_.select("id", "comp").distinct().join(near.select(F.col("node").alias("id"), F.col("comp").alias("family")), "id")
-            comps = components(links.unionByName(_tiles(checkpoint(families), marks, sets, percent)))
+            more = written(_tiles(written(families, "families"), marks, sets, percent), "more")
+            comps = components(links.unionByName(more))
             break
         pairs = open_.filter("comp <> centre_comp").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        pairs = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        links = checkpoint(links.unionByName(_verify(pairs, sets, percent)))
+        links = written(links.unionByName(_verify(pairs, sets, percent)), "links")
         comps = components(links)
+    for done in (marks, groups, sets):
+        discard(done)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("comp", "rep").alias("component"))
     out = rows.select("id", "n", "same").join(named, "same", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
