@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import common
-from folioscope.llm.common import slices
+from folioscope.llm.common import cache, enter, slices
 
 #: Labelled rows of either class that are collected for fitting, at most.
 MAX_PER_CLASS = 3000
 DICTIONARY_BYTES = 32768
-#: How many times likelier a word is in toxic texts than in ordinary ones, to be trained on.
-RATIO = 20.0
+#: How many times likelier a word is in toxic texts than in ordinary ones, to be trained on: what separates
+#: the set-aside usable rows best is taken.
+RATIOS = (5.0, 10.0, 20.0, 40.0)
 OPEN, CLOSE, TAIL = b"\x01\x02\x03", b"\x04\x05\x06", b"\n" * 64
 #: Counts of toxic windows that are told apart.
 STEPS = 6
@@ -77,7 +78,7 @@ class Model:
 class Scorer:
     """Scores texts; the verdict on recent words is kept, within a bound."""
 
-    def __init__(self, model: Model, max_words: int = 400_000):
+    def __init__(self, model: Model, max_words: int = 200_000):
         toxic, ordinary = model.lengths()
         length, gain = model.length, model.gain
 
@@ -104,6 +105,20 @@ def _outstanding(mine: list[list[bytes]], others: list[list[bytes]], least: int,
     return [[w for w in t if w in keep] for t in mine]
 
 
+def _hits(model: Model, texts: list[list[bytes]]) -> np.ndarray:
+    """hits[text, length, gain]: windows that thresholds of length and gain would count."""
+    toxic, ordinary = model.lengths()
+    known: dict[bytes, tuple[int, int]] = {}
+    out = np.zeros((len(texts), 48, 24), np.int32)
+    for grid, text in zip(out, texts, strict=True):
+        for w in text:
+            if w not in known:
+                n = toxic(w)
+                known[w] = (min(n, 47), min(max(ordinary(w) - n, 0), 23))
+            grid[known[w]] += 1
+    return out[:, :, ::-1].cumsum(axis=2, dtype=np.int32)[:, :, ::-1].cumsum(axis=1, dtype=np.int32)
+
+
 def fit(toxic: list[str], ordinary: list[str], base_rate: float) -> Model:
     """Two thirds of each class train the dictionaries, the rest sets thresholds and shares."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
@@ -113,32 +128,23 @@ def fit(toxic: list[str], ordinary: list[str], base_rate: float) -> Model:
         return Model(b"", b"", shares=(base_rate,) * (STEPS + 1))
     least = max(2, min(4, len(t_fit) // 100))
     t_words, o_words = ([words(x) for x in texts] for texts in (t_fit, o_fit))
-    model = Model(_train(_outstanding(t_words, o_words, least, RATIO)), _train(o_words))
-    toxic_n, ordinary_n = model.lengths()
-    t_set, o_set = t_set or t_fit, o_set or o_fit
-    known: dict[bytes, tuple[int, int]] = {}
-
-    def grid(text: str) -> np.ndarray:
-        out = np.zeros((48, 24), np.int32)
-        for w in words(text):
-            if w not in known:
-                n = toxic_n(w)
-                known[w] = (min(n, 47), min(max(ordinary_n(w) - n, 0), 23))
-            out[known[w]] += 1
-        return out[:, ::-1].cumsum(axis=1)[:, ::-1].cumsum(axis=0)
-
-    #: hits[text, length, gain]
-    t_hits, o_hits = np.stack([grid(x) for x in t_set]), np.stack([grid(x) for x in o_set])
-    right = (t_hits > 0).mean(axis=0) - (o_hits > 0).mean(axis=0)
-    right[:, 0] = -1
-    length, gain = map(int, np.unravel_index(right.argmax(), right.shape))
-    a, b = t_hits[:, length, gain], o_hits[:, length, gain]
-    shares, best = [], 0.0
+    t_set, o_set = ([words(x) for x in texts] for texts in (t_set or t_fit, o_set or o_fit))
+    plain, best = _train(o_words), None
+    for ratio in RATIOS:
+        model = Model(_train(_outstanding(t_words, o_words, least, ratio)), plain)
+        t_hits, o_hits = _hits(model, t_set), _hits(model, o_set)
+        right = (t_hits > 0).mean(axis=0) - (o_hits > 0).mean(axis=0)
+        right[:, 0] = -1
+        length, gain = map(int, np.unravel_index(right.argmax(), right.shape))
+        if best is None or right[length, gain] > best[0]:
+            best = right[length, gain], model, length, gain, t_hits[:, length, gain], o_hits[:, length, gain]
+    _, model, length, gain, a, b = best
+    shares, top = [], 0.0
     for k in range(STEPS + 1):
         t = ((a >= k) if k == STEPS else (a == k)).mean() * base_rate + 0.5 / len(a) * base_rate
         o = ((b >= k) if k == STEPS else (b == k)).mean() * (1 - base_rate) + 0.5 / len(b) * (1 - base_rate)
-        best = max(best, float(t / (t + o)))
-        shares.append(best)
+        top = max(top, float(t / (t + o)))
+        shares.append(top)
     return Model(model.toxic, model.ordinary, length, gain, tuple(shares))
 
 
@@ -162,6 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
 
 
 _scorers: dict[tuple, Scorer] = {}
+cache("toxicity", _scorers.clear)
 
 
 def _scorer(model: Model) -> Scorer:
@@ -176,17 +183,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, the columns of keep, and score (0 to 1) of every row's whole text.
 
     Null and empty texts have no windows and get the score of texts without toxic windows. Every row
-    stays, with repeated and null keys.
+    stays, with repeated and null keys. A column of keep that is named score gives way to the score.
     """
-    columns = list(dict.fromkeys([key, *keep]))
+    columns = [c for c in dict.fromkeys([key, *keep]) if c != "score"]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, docs[text].alias("scored text"))
-    schema = rows.select(*columns).schema.add("score", "double")
+    rows = docs.select(*(docs[c] for c in dict.fromkeys([*columns, text])))
+    at, schema = rows.columns.index(text), rows.select(*columns).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         scorer = _scorer(shipped.value)
         for part in slices(batches):
-            scores = pa.array([scorer.score(t) for t in part.column(len(columns)).to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t) for t in part.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], scores], [*columns, "score"])
 
     return rows.mapInArrow(run, schema)
