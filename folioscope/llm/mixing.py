@@ -11,7 +11,7 @@ running sum of wanted tokens, so that the error of a source ends below one small
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import checkpoint, word_count, written
@@ -46,7 +46,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
 
 def tilt(cells: DataFrame, targets: DataFrame, cap: float, rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
     """sid, lam, scale: the dual solution of every source, by Newton steps kept inside a bracket."""
-    scale = cells.groupBy("sid").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
+    def exact(x: Column) -> Column:
+        """Decimal sums do not depend on the order of the rows, so reruns agree to the last digit."""
+        return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+    squares = F.col("n").cast("double") * F.col("size") * F.col("size")
+    scale = cells.groupBy("sid").agg((exact(squares) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
     state = checkpoint(
         targets.join(scale, "sid").select(
             "sid", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)).alias("full")
@@ -56,7 +61,7 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float, rounds: int = 60, tol
     raw = F.exp(F.least(F.col("lam") * x, F.lit(60.0)))
     for _ in range(rounds):
         tokens = F.col("n") * F.col("size")
-        sums = cells.join(state, "sid").groupBy("sid").agg(F.sum(tokens * F.least(raw, F.lit(cap))).alias("got"), F.sum(F.when(raw < cap, tokens * x * raw).otherwise(0.0)).alias("slope"))
+        sums = cells.join(state, "sid").groupBy("sid").agg(exact(tokens * F.least(raw, F.lit(cap))).alias("got"), exact(F.when(raw < cap, tokens * x * raw).otherwise(0.0)).alias("slope"))
         gap = F.col("got") - F.col("target")
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
@@ -73,8 +78,8 @@ def tilt(cells: DataFrame, targets: DataFrame, cap: float, rounds: int = 60, tol
 
 def _copies(cap: float):
     def fold(cells: pd.DataFrame) -> pd.DataFrame:
-        """Copies of every cell of one source: largest sizes first, each follows the tokens still wanted."""
-        cells = cells.sort_values(["size", "salt"], ascending=[False, True])
+        """Copies of every size of one source: largest first, each follows the tokens still wanted. One row a size."""
+        cells = cells.sort_values("size", ascending=False)
         wanted = taken = 0.0
         out = []
         for n, size, rate in zip(cells["n"], cells["size"], cells["rate"], strict=True):
@@ -82,31 +87,36 @@ def _copies(cap: float):
             m = int(round(n * rate)) if size == 0 else int(min(max((wanted - taken) / size + 0.5, 0), int(cap * n)))
             taken += m * size
             out.append(m)
-        return cells.assign(m=out)[["sid", "size", "salt", "n", "m"]]
+        return cells.assign(m=out)[["sid", "size", "n", "m"]]
 
     return fold
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, order: Column | None = None) -> DataFrame:
     """key, source, size, source_size, target, copies of every document.
 
     Sizes are words; a null or empty text has size 0 and one copy at most counts nothing. A null source is a
     source of its own, the last. Repeated rows are documents of their own. A null key is a key like any
     other. An empty table gives no rows. Rates and copies depend on the rows alone, so reruns agree; equal
-    rows may swap their copies.
+    rows may swap their copies. order: what decides between documents of one size, the key if None.
     """
     sid = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.select(docs[key].alias("key"), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"))
-    rows = written(rows.select("key", "source", sid.alias("sid"), "size", F.xxhash64(F.lit(10), F.col("key")).alias("u")), "sizes")
+    rows = docs.select(docs[key].alias("key"), docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"), (docs[key] if order is None else order).alias("order"))
+    rows = written(rows.select("key", "source", sid.alias("sid"), "size", F.xxhash64(F.lit(10), "order").alias("u")), "sizes")
     salts = 1 + rows.count() // CELL_ROWS
     rows = rows.withColumn("salt", F.pmod("u", F.lit(salts)))
     cells = checkpoint(rows.groupBy("sid", "source", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     sizes = cells.groupBy("sid", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = checkpoint(source_targets(sizes, weights, cap))
-    solved = tilt(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")), targets, cap)
+    whole = checkpoint(cells.groupBy("sid", "size").agg(F.sum("n").alias("n")))
+    solved = tilt(whole, targets, cap)
     rate = F.when(F.col("full"), F.lit(cap)).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(60.0))), F.lit(cap)))
-    counted = cells.join(solved, "sid").select("sid", "size", "salt", "n", rate.alias("rate")).groupBy("sid").applyInPandas(_copies(cap), "sid string, size long, salt long, n long, m long")
-    counted = checkpoint(counted)
+    counted = whole.join(solved, "sid").select("sid", "size", "n", rate.alias("rate")).groupBy("sid").applyInPandas(_copies(cap), "sid string, size long, n long, m long")
+    # a size's copies go to its salts in proportion to their rows
+    upto = F.sum("part").over(Window.partitionBy("sid", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = counted.withColumnRenamed("n", "all").join(cells.select("sid", "size", "salt", F.col("n").alias("part")), ["sid", "size"]).withColumn("upto", upto)
+    share = F.floor(F.col("upto") * F.col("m") / F.col("all")) - F.floor((F.col("upto") - F.col("part")) * F.col("m") / F.col("all"))
+    counted = checkpoint(shared.select("sid", "size", "salt", F.col("part").alias("n"), share.alias("m")))
     rank = F.row_number().over(Window.partitionBy("sid", "size", "salt").orderBy("u", "key"))
     copies = F.floor(F.col("rank") * F.col("m") / F.col("n")) - F.floor((F.col("rank") - 1) * F.col("m") / F.col("n"))
     return (
