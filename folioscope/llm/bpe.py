@@ -38,7 +38,7 @@ class MergeTransducer:
     #: Positions after which settled tokens are emitted and forgotten.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 600_000, max_moves: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 300_000, max_moves: int = 250_000):
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 2
         self.spelling = {i: t for t, i in ranks.items()}
@@ -226,10 +226,9 @@ class Utf8Decoder:
 class Codec:
     """Encodes and decodes whole texts; ids travel as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 80_000):
         self.machine = MergeTransducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.vocabulary = [self.machine.spelling.get(i, b"") for i in range(max(self.machine.spelling, default=-1) + 1)]
         machine = self.machine
 
         def pack(ids: list[int]) -> bytes:
@@ -256,6 +255,14 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text))) if text else b""
 
+
+class Decoder:
+    """Decodes ids; holds the spellings alone."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        spelling = {i: t for t, i in ranks.items()}
+        self.vocabulary = [spelling.get(i, b"") for i in range(max(spelling, default=-1) + 1)]
+
     def decode_chunks(self, ids: bytes, tokens: int = 8192) -> Iterator[str]:
         """Decodes a stream of ids chunk by chunk."""
         machine, spell = Utf8Decoder(), self.vocabulary.__getitem__
@@ -268,6 +275,7 @@ class Codec:
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
+_decoders: dict[int, Decoder] = {}
 cache("bpe", _codecs.clear)
 
 
@@ -279,6 +287,14 @@ def _codec(data: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _decoder(data: bytes) -> Decoder:
+    key = hash(data)
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(parse_ranks(data))
+    return _decoders[key]
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids (packed little-endian uint32) of every row's whole text.
 
@@ -297,14 +313,14 @@ def encode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", tex
     return map_slices(rows, run, f"key {df.schema[key].dataType.simpleString()}, n_tokens long, ids binary", "bpe").withColumnRenamed("key", key)
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """All columns of encode()'s result and the text decoded from its ids, streamed through the UTF-8 machine."""
     with open(rank_file, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(data.value, pattern)
-        texts = [codec.decode(x) for x in part.column(2).to_pylist()]
+        decoder = _decoder(data.value)
+        texts = [decoder.decode(x) for x in part.column(2).to_pylist()]
         return pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(texts, pa.string())], ["key", "n_tokens", "ids", "decoded"])
 
     rows = df.select(df[key].alias("key"), df["n_tokens"], df[ids].alias("ids"))

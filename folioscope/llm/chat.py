@@ -43,7 +43,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     """tkey, leaf, node, back (steps from the leaf) for each leaf and each of its ancestors, itself included.
 
     nodes: tkey, node, parent. A parent that is not there makes its child a root. Raises ValueError if parents
-    run in a circle below a leaf.
+    run in a circle, below a leaf or without one.
     """
     here = nodes.select("tkey", F.col("node").alias("parent"))
     jump = checkpoint(nodes.select("tkey", "node", "parent").join(here.distinct(), ["tkey", "parent"], "left_semi").select("tkey", "node", F.col("parent").alias("up")))
@@ -55,21 +55,25 @@ def paths(nodes: DataFrame) -> DataFrame:
             raise ValueError("parents run in a circle")
         more = checkpoint(found.join(jump, ["tkey", "node"]).select("tkey", "leaf", F.col("up").alias("node"), (F.col("back") + reach).alias("back")))
         if more.isEmpty():
-            return found
+            break
         found = checkpoint(found.unionByName(more))
         jump = checkpoint(jump.join(jump.select("tkey", F.col("node").alias("up"), F.col("up").alias("top")), ["tkey", "up"]).select("tkey", "node", F.col("top").alias("up")))
         reach *= 2
+    # a node that no leaf's path has met hangs below no root: its parents run in a circle
+    if nodes.count() and not nodes.select("tkey", "node").join(found.select("tkey", "node"), ["tkey", "node"], "left_anti").isEmpty():
+        raise ValueError("parents run in a circle")
+    return found
 
 
 def format_trees(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """tree, leaf, branch (rank by score, ties to the smaller leaf), score, formatted, loss_spans.
 
     nodes: tree, node, parent, role, text, score; other columns are not looked at. Nodes are unique in
-    their tree. Null texts and roles are empty, a null score is 0, a null tree is a tree of its own, an empty
+    their tree; parents that run in a circle raise ValueError. Null texts and roles are empty, a null score is 0, a null tree is a tree of its own, an empty
     table gives no rows. top keeps that many best branches of a tree (all if None). loss_spans
     holds (start, length) in code points, from 1, of each assistant text inside formatted, still escaped.
     """
-    tkey = F.coalesce(F.col("tree").cast("string"), F.lit("null"))
+    tkey = F.struct(F.col("tree").isNull().alias("no"), F.col("tree").alias("tree"))
     rows = checkpoint(
         nodes.select("tree", tkey.alias("tkey"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     )

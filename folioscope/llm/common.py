@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to Python at once, so that the objects of one slice stay small.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _local_dir: str | None = None
 
 _caches: dict[str, Callable[[], None]] = {}
+_inside: str | None = None
 
 
 def cache(name: str, clear: Callable[[], None]) -> None:
@@ -26,9 +29,18 @@ def cache(name: str, clear: Callable[[], None]) -> None:
 
 def enter(name: str) -> None:
     """Called where a task of operator name begins: workers live on, so the other operators' caches go."""
+    global _inside
+    if _inside == name:
+        return
+    _inside = name
     for other, clear in _caches.items():
         if other != name:
             clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

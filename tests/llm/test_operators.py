@@ -156,7 +156,7 @@ def test_bpe_equals_the_library(docs, empty, texts):
     with open(RANKS, "rb") as f:
         ranks = bpe.parse_ranks(f.read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()}
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
     for i, t in enumerate(texts):
         want = library.encode_ordinary(t or "")
         assert np.frombuffer(got[i].ids, "<u4").tolist() == want and got[i].decoded == (t or "") and got[i].n_tokens == len(want)
@@ -258,12 +258,39 @@ def test_chains_of_any_length(spark):
     assert chat.format_trees(chat.chain(df.limit(0))).count() == 0
 
 
-def test_circles_are_refused(spark):
-    df = spark.createDataFrame([("t", 1, 2), ("t", 2, 1), ("t", 3, 1)], "tkey string, node long, parent long")
+@pytest.mark.parametrize("rows_", [[("t", 1, 2), ("t", 2, 1), ("t", 3, 1)], [("t", 1, 2), ("t", 2, 1), ("u", 3, None)]])
+def test_circles_are_refused(spark, rows_):
+    df = spark.createDataFrame(rows_, "tkey string, node long, parent long")
     with pytest.raises(ValueError):
         chat.paths(df)
 
 
+def test_a_tree_named_null_and_the_null_tree_stay_apart(spark):
+    nodes = [("null", 1, None, "user", "a", 0.0), (None, 1, None, "user", "b", 0.0), ("", 1, None, "user", "c", 0.0)]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
+    got = {r.tree: [t.text for t in r.turns] for r in chat.read_back(chat.format_trees(df)).collect()}
+    assert got == {"null": ["a"], None: ["b"], "": ["c"]}
+
+
+def test_paths_equal_an_enumeration(spark):
+    rng = random.Random(16)
+    parent = {(t, n): (rng.randrange(n) if n and rng.random() < 0.9 else None) for t in range(4) for n in range(25)}
+    nodes = [(t, n, p, "user" if n % 2 else "assistant", f"{t}.{n}", float(n % 5)) for (t, n), p in parent.items()]
+    df = spark.createDataFrame(nodes, "tree long, node long, parent long, role string, text string, score double")
+    want = {}
+    for t, n in parent:
+        if (t, n) not in {(a, p) for (a, _), p in parent.items()}:
+            way = [n]
+            while parent[t, way[-1]] is not None:
+                way.append(parent[t, way[-1]])
+            want[t, n] = ([f"{t}.{x}" for x in way[::-1]], float(sum(x % 5 for x in way)))
+    got = chat.format_trees(df)
+    back = {(r.tree, r.leaf): [x.text for x in r.turns] for r in chat.read_back(got).collect()}
+    assert back == {k: v[0] for k, v in want.items()}
+    order = sorted(want, key=lambda k: (k[0], -want[k][1], k[1]))
+    assert [(r.tree, r.leaf) for r in sorted(got.collect(), key=lambda r: (r.tree, r.branch))] == order
+
+
 # 7 ------------------------------------------------------------------------------------------------
 def test_pages(spark):
     page = "<html><head><title>t</title></head><p>a<p>b &amp; c<ul><li>x<li>y<ol start=3><li>q</ol></ul><table><tr><td>one<td>2<tr><th>three<td>44</table><div hidden>no</div><script>'</p>'</script><pre>  k\n   v</pre>tail<br>more</b>"
