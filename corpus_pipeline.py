@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian uint32), n_words and a digest of the text decoded from the ids, per row."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    ids = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return ids.select("doc_id", "n_tokens", "ids", word_count(F.col("decoded")).alias("n_words"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
