@@ -72,3 +72,33 @@ SENTENCE_END = "([.!?…]+[\"'»”)\\]]*)\\s+([\"'«“(\\[]?[A-ZА-ЯЁЎҚҒ
 NUMBER = "[0-9]+(?:[.,][0-9]+)?%?"
 NUMERIC_CITATION = "\\[\\s*[0-9]+(?:\\s*[,;–-]\\s*[0-9]+)*\\s*\\]"
 YEAR = "(?:19|20)[0-9][0-9]"
+HEADING_WORDS = "^([0-9ivx]+[.)]? +)?(abstract|summary|introduction|methods|methodology|results|discussion|conclusions?|references|bibliography|works cited|appendix|введение|заключение|выводы|аннотация|приложение|список литературы|список использованной литературы|литература|kirish|xulosa|annotatsiya|ilova|foydalanilgan adabiyotlar|foydalanilgan adabiyotlar ro'yxati|adabiyotlar)[.:]?$"
+REFERENCES_HEADING = "^([0-9ivx]+[.)]? +)?(references|bibliography|works cited|список литературы|список использованной литературы|литература|foydalanilgan adabiyotlar|foydalanilgan adabiyotlar ro'yxati|adabiyotlar)[.:]?$"
+# up to 1500 characters, in two steps: one engine repeats no more than 1000 times
+QUOTE = "«[^«»]{12,1000}[^«»]{0,500}»|“[^“”]{12,1000}[^“”]{0,500}”|„[^„“”]{12,1000}[^„“”]{0,500}[“”]|\"[^\"]{12,1000}[^\"]{0,500}\""
+CITED_AFTER = "\\s*[,.;:]?\\s*(?:\\[\\s*[0-9]+[^\\]]{0,30}\\]|\\([^()]{0,80}?(?:19|20)[0-9]{2}[a-z]?[^()]{0,20}\\)|\\[\\s*[A-ZА-ЯЁa-z][^\\]]{0,60}\\])"
+
+# Stock phrases that never count as borrowed.
+TEMPLATES_UZ = [
+    "mavzuning dolzarbligi", "dolzarbligi shundaki", "tadqiqotning dolzarbligi", "ushbu ishda", "ushbu maqolada", "ushbu tadqiqotda", "ushbu bitiruv malakaviy ishida", "tadqiqotning maqsadi",
+    "tadqiqot maqsadi", "tadqiqotning vazifalari", "tadqiqot vazifalari", "tadqiqot obyekti", "tadqiqot ob'ekti", "tadqiqot predmeti", "tadqiqotning ilmiy yangiligi",
+    "ilmiy yangiligi quyidagilardan iborat", "tadqiqot natijalarining amaliy ahamiyati", "natijalarning amaliy ahamiyati", "tadqiqot natijalarining ilmiy ahamiyati", "tadqiqot metodlari",
+    "tadqiqot usullari", "ishning tuzilishi va hajmi", "dissertatsiyaning tuzilishi va hajmi", "dissertatsiya kirish", "xulosa va takliflar", "foydalanilgan adabiyotlar ro'yxati",
+    "shuni ta'kidlash kerakki", "shuni ta'kidlash joizki", "shuni aytish mumkinki", "yuqoridagilardan kelib chiqib", "yuqoridagilardan xulosa qilib aytganda", "xulosa qilib aytganda",
+    "xulosa o'rnida shuni aytish mumkinki", "bugungi kunda", "hozirgi kunda", "so'nggi yillarda", "shu bilan birga", "bundan tashqari", "birinchi navbatda", "muhim ahamiyat kasb etadi",
+    "katta ahamiyatga ega", "alohida e'tibor qaratilmoqda", "tadqiqot natijalari shuni ko'rsatdiki", "olingan natijalar shuni ko'rsatadiki", "mazkur tadqiqotda", "mazkur ishda",
+    "quyidagi xulosalarga kelindi",
+]
+TEMPLATES_RU = [
+    "актуальность темы", "актуальность темы исследования", "актуальность исследования", "в данной работе", "в настоящей работе", "в данной статье", "в настоящей статье", "цель исследования",
+    "целью исследования является", "задачи исследования", "объект исследования", "предмет исследования", "научная новизна", "научная новизна исследования", "практическая значимость",
+    "теоретическая значимость", "методы исследования", "структура и объем работы", "структура работы", "список использованной литературы", "следует отметить что", "необходимо отметить что",
+    "таким образом можно сделать вывод", "таким образом", "в заключение", "в настоящее время", "в последние годы", "на сегодняшний день", "кроме того", "вместе с тем", "в первую очередь",
+    "имеет большое значение", "играет важную роль", "результаты исследования показали", "полученные результаты показывают", "можно сделать следующие выводы",
+]
+TEMPLATES_EN = [
+    "the aim of this study", "the purpose of this study", "the aim of the research", "in this paper", "in this article", "in this study", "in this work", "the relevance of the topic",
+    "research objectives", "the objectives of the study", "object of the research", "subject of the research", "scientific novelty", "practical significance", "theoretical significance",
+    "research methods", "structure of the thesis", "list of references", "it should be noted that", "it is worth noting that", "in conclusion", "to sum up", "in recent years", "at the same time",
+    "first of all", "plays an important role", "is of great importance", "the results of the study showed", "the results show that", "the following conclusions",
+]

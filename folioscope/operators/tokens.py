@@ -44,10 +44,10 @@ def stop_words(spark) -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted({w for ws in profiles.STOP.values() for w in ws})], "word string")
 
 
-def shingles(tokens_: DataFrame, stop: list[str], key: tuple[str, ...] = ("doc_id",), k: int = K) -> DataFrame:
-    """key, pos, h of the k-word shingles with two content words (no stop word, longer than a letter) at least."""
+def shingles(tokens_: DataFrame, stop: list[str], key: tuple[str, ...] = ("doc_id",), k: int = K, longer: int = 1) -> DataFrame:
+    """key, pos, h of the k-word shingles with two content words (no stop word, more than `longer` letters) at least."""
     w = Window.partitionBy(*key).orderBy("pos")
-    content = (~F.col("word").isin(stop) & (F.length("word") > 1)).cast("int")
+    content = (~F.col("word").isin(stop) & (F.length("word") > longer)).cast("int")
     rows = tokens_.withColumn("content", content)
     grams = [F.col("word"), *(F.lead("word", i).over(w) for i in range(1, k))]
     rows = rows.select(*key, "pos", F.concat_ws(" ", *grams).alias("gram"), grams[-1].alias("end"), F.sum("content").over(w.rowsBetween(0, k - 1)).alias("content"))

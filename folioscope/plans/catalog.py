@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import profiles
+from folioscope.operators import canonical
 from folioscope.operators import tokens as tk
 from folioscope.plans.dialect import DUCK, SPARK, Dialect
 from folioscope.plans import queries_corpus, queries_relational, queries_style, queries_text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_STOP = sorted({w for ws in profiles.STOP.values() for w in ws})
+_STOP = queries_corpus.canonical_stop()
+
+
+def _sql(df: DataFrame, build: Callable[..., str], *more) -> DataFrame:
+    """A query of operators.canonical over one DataFrame."""
+    sql = build(SPARK, "@x@", *more).replace("{", "{{").replace("}", "}}").replace("@x@", "{x}")
+    return df.sparkSession.sql(sql, x=df)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,18 +31,38 @@ def _refs(read: Callable) -> DataFrame:
     return read("benchmark").select(F.col("item_id").alias("doc_id"), "text")
 
 
+def _blocks(read: Callable) -> DataFrame:
+    return _sql(tk.paragraphs(read("documents")), canonical.blocks)
+
+
+def _stream(read: Callable) -> DataFrame:
+    return _sql(_blocks(read), canonical.stream)
+
+
+def _passages(read: Callable) -> DataFrame:
+    return tk.shingles(_sql(tk.paragraphs(read("documents")), canonical.words, "doc_id, idx"), _STOP, ("doc_id", "idx"), longer=0)
+
+
+def _reference(read: Callable) -> DataFrame:
+    return _sql(_refs(read), canonical.words, "doc_id")
+
+
 #: Base tables as Spark builds them.
 BASES: dict[str, Callable] = {
     "para": lambda read: tk.paragraphs(read("documents")),
     "tok": lambda read: tk.tokens(read("documents")),
     "ptok": lambda read: tk.paragraph_tokens(read("documents")),
     "sent": lambda read: tk.sentences(read("documents")),
-    "sh": lambda read: tk.shingles(tk.tokens(read("documents")), _STOP),
-    "fp": lambda read: tk.winnow(tk.shingles(tk.tokens(read("documents")), _STOP)),
-    "psh": lambda read: tk.shingles(tk.paragraph_tokens(read("documents")), profiles.STOP_EN, ("doc_id", "idx")),
-    "rtok": lambda read: tk.tokens(_refs(read)),
-    "rsh": lambda read: tk.shingles(tk.tokens(_refs(read)), _STOP),
-    "rfp": lambda read: tk.winnow(tk.shingles(tk.tokens(_refs(read)), _STOP)),
+    "blk": _blocks,
+    "ctok": _stream,
+    "cptok": lambda read: _sql(tk.paragraphs(read("documents")), canonical.words, "doc_id, idx"),
+    "sh": lambda read: tk.shingles(_stream(read), _STOP),
+    "fp": lambda read: tk.winnow(tk.shingles(_stream(read), _STOP)),
+    "psh": _passages,
+    "pfp": lambda read: tk.winnow(_passages(read), ("doc_id", "idx")).select("doc_id", "idx", "h").distinct(),
+    "rtok": _reference,
+    "rsh": lambda read: tk.shingles(_reference(read), _STOP),
+    "rfp": lambda read: tk.winnow(tk.shingles(_reference(read), _STOP)),
 }
 
 
@@ -46,18 +73,18 @@ def _ctes() -> dict[str, str]:
     def tok(source: str, key: str) -> str:
         return f"SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT {key}, regexp_extract_all(lower(text), {word}) AS w FROM {source})"
 
-    def sh(source: str, key: str, stop: list[str]) -> str:
+    def sh(source: str, key: str, stop: list[str], longer: int = 1) -> str:
         among = ", ".join(DUCK.lit(w) for w in stop)
         leads = ", ".join(f"lead(word, {i}) OVER w AS w{i}" for i in range(1, 6))
         return f"""SELECT {key}, pos, {DUCK.h60("concat_ws(' ', word, w1, w2, w3, w4, w5)")} AS h FROM (
-            SELECT {key}, pos, word, {leads}, sum(CASE WHEN word NOT IN ({among}) AND length(word) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS content
+            SELECT {key}, pos, word, {leads}, sum(CASE WHEN word NOT IN ({among}) AND length(word) > {longer} THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS content
             FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY pos)) WHERE w5 IS NOT NULL AND content >= 2"""
 
-    def fp(source: str) -> str:
-        return f"""SELECT DISTINCT doc_id, pos, h FROM (
-            SELECT doc_id, CASE WHEN n <= 4 THEN pos ELSE -least.p END AS pos, CASE WHEN n <= 4 THEN h ELSE least.h END AS h FROM (
-            SELECT doc_id, pos, h, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i,
-                   min({{'h': h, 'p': -pos}}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS least FROM {source})
+    def fp(source: str, key: str = "doc_id") -> str:
+        return f"""SELECT DISTINCT {key}, pos, h FROM (
+            SELECT {key}, CASE WHEN n <= 4 THEN pos ELSE -least.p END AS pos, CASE WHEN n <= 4 THEN h ELSE least.h END AS h FROM (
+            SELECT {key}, pos, h, count(*) OVER (PARTITION BY {key}) AS n, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS i,
+                   min({{'h': h, 'p': -pos}}) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS least FROM {source})
             WHERE n <= 4 OR i <= n - 3)"""
 
     refs = "(SELECT item_id AS doc_id, text FROM benchmark)"
@@ -68,16 +95,20 @@ def _ctes() -> dict[str, str]:
         "tok": tok("documents", "doc_id"),
         "ptok": tok("para", "doc_id, idx"),
         "sent": sent,
-        "sh": sh("tok", "doc_id", _STOP),
+        "blk": canonical.blocks(DUCK, "para"),
+        "ctok": canonical.stream(DUCK, "blk"),
+        "cptok": canonical.words(DUCK, "para", "doc_id, idx"),
+        "sh": sh("ctok", "doc_id", _STOP),
         "fp": fp("sh"),
-        "psh": sh("ptok", "doc_id, idx", profiles.STOP_EN),
-        "rtok": tok(refs, "doc_id"),
+        "psh": sh("cptok", "doc_id, idx", _STOP, 0),
+        "pfp": f"SELECT DISTINCT doc_id, idx, h FROM ({fp('psh', 'doc_id, idx')})",
+        "rtok": canonical.words(DUCK, refs, "doc_id"),
         "rsh": sh("rtok", "doc_id", _STOP),
         "rfp": fp("rsh"),
     }
 
 
-_NEEDS = {"ptok": ["para"], "sent": ["para"], "sh": ["tok"], "fp": ["tok", "sh"], "psh": ["para", "ptok"], "rsh": ["rtok"], "rfp": ["rtok", "rsh"]}
+_NEEDS = {"ptok": ["para"], "sent": ["para"], "blk": ["para"], "ctok": ["para", "blk"], "cptok": ["para"], "sh": ["para", "blk", "ctok"], "fp": ["para", "blk", "ctok", "sh"], "psh": ["para", "cptok"], "pfp": ["para", "cptok", "psh"], "rsh": ["rtok"], "rfp": ["rtok", "rsh"]}
 
 
 def _spark_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:

@@ -56,6 +56,17 @@ class Dialect:
     def split(self, x: str, sep: str) -> str:
         return f"string_split({x}, {self.lit(sep)})"
 
+    def at(self, array: str, i: int) -> str:
+        """The i-th entry, from 1; null if there is none."""
+        return f"list_extract({array}, {i})"
+
+    def concat_arrays(self, a: str, b: str) -> str:
+        return f"list_concat({a}, {b})"
+
+    def explode_with(self, keep: str, array: str, item: str, number: str) -> str:
+        """SELECT of keep, one entry of the array a row, and its number, from 0; a FROM follows."""
+        return f"SELECT {keep}, unnest({array}) AS {item}, generate_subscripts({array}, 1) - 1 AS {number}"
+
     def series(self, a: str, b: str) -> str:
         return f"generate_series({a}, {b})"
 
@@ -108,6 +119,15 @@ class SparkDialect(Dialect):
     def split(self, x: str, sep: str) -> str:
         return f"split({x}, {self.lit(re.escape(sep))})"
 
+    def at(self, array: str, i: int) -> str:
+        return f"get({array}, {i - 1})"
+
+    def concat_arrays(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})"
+
+    def explode_with(self, keep: str, array: str, item: str, number: str) -> str:
+        return f"SELECT {keep}, posexplode({array}) AS ({number}, {item})"
+
     def series(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})"
 

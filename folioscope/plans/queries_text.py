@@ -255,12 +255,6 @@ def _(d):
     return f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE {d.rcount('text', '[^ \\n\\t\\r]+')} END AS n FROM {d.t('documents')}"
 
 
-@q("c10_exclusions", "para", "ptok")
-def _(d):
-    return f"""WITH w AS (SELECT p.doc_id, p.idx, CASE WHEN {d.rlike('p.text', '^[|]|[|] *$')} THEN 'table' WHEN {d.rlike('lower(p.text)', '^(references|bibliography)')} THEN 'references' WHEN {d.rcount('p.text', '[=+*/^_∑]')} > 3 THEN 'formula' ELSE 'checked' END AS reason FROM {d.t('para')} p)
-    SELECT w.doc_id, w.reason, count(t.pos) AS words FROM w LEFT JOIN {d.t('ptok')} t ON t.doc_id = w.doc_id AND t.idx = w.idx GROUP BY w.doc_id, w.reason"""
-
-
 @q("f9_section_ends", "para")
 def _(d):
     return f"""WITH h AS (SELECT doc_id, idx, length(text) AS n, CASE WHEN length(text) < 20 THEN 1 WHEN length(text) < 40 THEN 2 ELSE 3 END AS level FROM {d.t('para')} WHERE length(text) < 60),
