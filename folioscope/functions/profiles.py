@@ -102,3 +102,55 @@ TEMPLATES_EN = [
     "research methods", "structure of the thesis", "list of references", "it should be noted that", "it is worth noting that", "in conclusion", "to sum up", "in recent years", "at the same time",
     "first of all", "plays an important role", "is of great importance", "the results of the study showed", "the results show that", "the following conclusions",
 ]
+
+# The same lists for Uzbek and Russian.
+TRANSITIONS_UZ = [
+    "shuningdek", "bundan tashqari", "shu bilan birga", "biroq", "ammo", "lekin", "demak", "xulosa qilib aytganda", "natijada", "birinchidan", "ikkinchidan", "uchinchidan", "avvalo", "jumladan",
+    "aksincha", "shunday qilib", "qolaversa", "ta'kidlash joizki", "shu sababli", "shuning uchun", "umuman olganda", "binobarin", "yakuniy", "yakunda", "eng muhimi", "shu nuqtai nazardan",
+    "boshqacha aytganda", "o'z navbatida", "qo'shimcha ravishda",
+]
+GENERIC_UZ = [
+    "muhim ahamiyat kasb etadi", "muhim ahamiyatga ega", "alohida ahamiyatga ega", "katta ahamiyatga ega", "muhim rol o'ynaydi", "hal qiluvchi rol o'ynaydi", "muhim o'rin tutadi",
+    "alohida o'rin tutadi", "shuni ta'kidlash kerakki", "shuni ta'kidlash joizki", "ta'kidlash lozimki", "ta'kidlash joizki", "zamonaviy dunyoda", "globallashuv sharoitida", "keng qamrovli",
+    "kompleks yondashuv", "yangi imkoniyatlar ochib beradi", "yangi imkoniyatlar yaratadi", "samaradorligini oshirishga xizmat qiladi", "dolzarb masalalardan biri hisoblanadi",
+    "muhim omil hisoblanadi", "yangi bosqichga ko'taradi", "barqaror rivojlanishini ta'minlaydi", "xulosa qilib aytganda", "salmoqli hissa qo'shadi", "keng ko'lamli",
+    "ajralmas qismi hisoblanadi", "innovatsion yondashuv", "muhim vazifalardan biri", "tizimli yondashuv", "chuqur tahlil qilish", "muhim ahamiyatga ega ekanligini", "yaxlit yondashuv",
+    "ko'p qirrali", "samarali vosita hisoblanadi", "asosiy omillardan biri",
+]
+QUALIFIERS_UZ = ["samarali", "innovatsion", "keng qamrov", "muhim", "dolzarb", "zamonaviy", "turli", "xilma-xil", "kompleks", "tizimli", "yaxlit", "chuqur", "salmoqli", "strategik"]
+FORMAL_UZ = "(?:lik|lash|lashtirish|ish|uv|iya|siya|tsiya|chilik|garlik)(?:lar)?(?:i|si|ning|ni|ga|da|dan|ini|ining|iga|ida|idan|imiz)?$"
+ABBREVIATIONS_UZ = ["h.k.", "va b.", "b.", "y.", "yy.", "prof.", "akad.", "t.", "s.", "sh.", "m.", "rasm.", "jadv.", "bet.", "no."]
+ACADEMIC_UZ = "tahlil tadqiqot usul metod nazariya gipoteza natija xulosa omil jarayon tizim tuzilma samaradorlik ko'rsatkich ma'lumot empirik konsepsiya yondashuv model baholash mezon tamoyil tajriba statistik o'zgaruvchi korrelyatsiya dalil manba ilmiy".split()
+TRANSITIONS_RU = [
+    "кроме того", "более того", "таким образом", "следовательно", "однако", "в то же время", "во-первых", "во-вторых", "в-третьих", "в заключение", "итак", "поэтому", "тем не менее", "в частности",
+    "помимо этого", "вместе с тем", "в целом", "подводя итог", "следует отметить", "важно отметить", "стоит отметить", "необходимо подчеркнуть", "наконец", "также", "кроме этого", "в результате",
+    "с другой стороны", "аналогично", "при этом",
+]
+GENERIC_RU = [
+    "играет ключевую роль", "играет важную роль", "играет значимую роль", "имеет важное значение", "имеет огромное значение", "важно отметить", "следует отметить", "стоит отметить",
+    "необходимо подчеркнуть", "в современном мире", "в условиях глобализации", "в современных условиях", "неотъемлемой частью", "комплексный подход", "многогранный", "широкий спектр",
+    "открывает новые возможности", "способствует повышению", "в заключение можно сказать", "подводя итог", "можно сделать вывод", "всесторонний анализ", "ключевым фактором",
+    "не вызывает сомнений", "является одним из важнейших", "в эпоху цифровизации", "целостный подход", "синергетический эффект", "играет решающую роль", "служит основой",
+    "позволяет глубже понять", "представляет собой важный",
+]
+QUALIFIERS_RU = ["различн", "многочисленн", "важнейш", "ключев", "значительн", "эффективн", "инновационн", "комплексн", "всесторонн", "современн", "актуальн", "целостн", "стратегическ", "глубок"]
+FORMAL_RU = "(?:ние|ния|нию|нием|нии|ость|ости|остью|ция|ции|цию|цией|ство|ства|ству|ством|стве|изм|изма)$"
+ABBREVIATIONS_RU = ["т.е.", "т.д.", "т.п.", "и др.", "др.", "г.", "гг.", "см.", "рис.", "табл.", "с.", "т.", "стр.", "проф.", "акад.", "им.", "т.к.", "напр.", "в.", "вв.", "св.", "ред.", "изд.", "№"]
+ACADEMIC_RU = "анализ исследован метод теори гипотез результат вывод фактор процесс систем структур эффективност показател данн эмпирическ концепц подход модел оценк критери принцип эксперимент статистическ".split()
+ABBREVIATIONS_EN = ["e.g.", "i.e.", "et al.", "fig.", "eq.", "vol.", "no.", "pp.", "p.", "dr.", "mr.", "mrs.", "ms.", "vs.", "etc.", "cf.", "ed.", "eds.", "approx.", "ch.", "sec.", "tab."]
+TRANSITIONS = {"uz": TRANSITIONS_UZ, "ru": TRANSITIONS_RU, "en": TRANSITIONS_EN}
+GENERIC = {"uz": GENERIC_UZ, "ru": GENERIC_RU, "en": GENERIC_EN}
+QUALIFIERS = {"uz": QUALIFIERS_UZ, "ru": QUALIFIERS_RU, "en": QUALIFIERS_EN}
+FORMAL = {"uz": FORMAL_UZ, "ru": FORMAL_RU, "en": FORMAL_EN}
+ABBREVIATIONS = {"uz": ABBREVIATIONS_UZ, "ru": ABBREVIATIONS_RU, "en": ABBREVIATIONS_EN}
+ACADEMIC = {"uz": ACADEMIC_UZ, "ru": ACADEMIC_RU, "en": ACADEMIC_EN}
+AND = {"uz": "va", "ru": "и", "en": "and"}
+LONG_SENTENCE = {"uz": 35, "ru": 38, "en": 40}
+MOST_CONFIDENCE = {"uz": "medium", "ru": "high", "en": "high", "unknown": "low"}
+# where a language's middle and scale differ from BASELINES
+BASELINES_OF = {
+    "uz": {"formalization_density": (15.0, 4.0), "qualifier_density": (3.0, 1.2), "generic_phrase_density": (1.0, 0.5), "transition_start_ratio": (0.20, 0.08)},
+    "ru": {"formalization_density": (11.0, 3.5), "qualifier_density": (2.2, 1.0)},
+}
+UZ_ENDINGS = "(o'|g'|.(lar|ning|dagi|lari|ligi|ni|ga|da|dan)$)"
+CITATION = "(?i)(?:\\[\\s*[0-9]+(?:\\s*[,;–-]\\s*[0-9]+)*(?:\\s*[,;]\\s*(?:p|pp|s|b|с|стр|bet)[.]?\\s*[0-9]+(?:\\s*[–-]\\s*[0-9]+)?)?\\s*\\]|[(][^()]{0,80}?(?:19|20)[0-9]{2}[a-z]?(?:[,;:]\\s*(?:p|pp|s|с|b)[.]?\\s*[0-9]+)?[)])"

@@ -24,7 +24,12 @@ def _sql(df: DataFrame, build: Callable[..., str], *more) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts that come in fewer splits than there are cores are dealt out first; large tables have more and are not."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _refs(read: Callable) -> DataFrame:

@@ -67,6 +67,49 @@ class Dialect:
         """SELECT of keep, one entry of the array a row, and its number, from 0; a FROM follows."""
         return f"SELECT {keep}, unnest({array}) AS {item}, generate_subscripts({array}, 1) - 1 AS {number}"
 
+    def filter(self, array: str, x: str, test: str) -> str:
+        return f"list_filter({array}, lambda {x}: {test})"
+
+    def transform(self, array: str, x: str, to: str) -> str:
+        return f"list_transform({array}, lambda {x}: {to})"
+
+    def slice(self, array: str, start: str, size: str) -> str:
+        """size entries from the start-th (from 1) on."""
+        return f"list_slice({array}, {start}, {start} + {size} - 1)"
+
+    def entry(self, array: str, i: str) -> str:
+        """The i-th entry, from 1; null if there is none."""
+        return f"list_extract({array}, {i})"
+
+    def total(self, array: str) -> str:
+        return f"coalesce(list_sum({array}), 0)"
+
+    def distinct(self, array: str) -> str:
+        return f"list_distinct({array})"
+
+    def sorted(self, array: str) -> str:
+        return f"list_sort({array})"
+
+    def flat(self, array: str) -> str:
+        return f"flatten({array})"
+
+    def hold(self, x: str, name: str) -> str:
+        """x AS name, worked out once a row: one engine would otherwise work it out again wherever a lambda uses it."""
+        return f"{x} AS {name}"
+
+    def numbers(self, a: str, b: str) -> str:
+        """a to b; none if b is less."""
+        return f"generate_series(CAST({a} AS INT), CAST({b} AS INT))"
+
+    def row(self, **fields: str) -> str:
+        return "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in fields.items()) + ")"
+
+    def join(self, array: str, sep: str) -> str:
+        return f"array_to_string({array}, {self.lit(sep)})"
+
+    def list_(self, *items: str) -> str:
+        return "[" + ", ".join(items) + "]"
+
     def series(self, a: str, b: str) -> str:
         return f"generate_series({a}, {b})"
 
@@ -128,6 +171,42 @@ class SparkDialect(Dialect):
     def explode_with(self, keep: str, array: str, item: str, number: str) -> str:
         return f"SELECT {keep}, posexplode({array}) AS ({number}, {item})"
 
+    def filter(self, array: str, x: str, test: str) -> str:
+        return f"filter({array}, {x} -> {test})"
+
+    def transform(self, array: str, x: str, to: str) -> str:
+        return f"transform({array}, {x} -> {to})"
+
+    def slice(self, array: str, start: str, size: str) -> str:
+        return f"slice({array}, {start}, {size})"
+
+    def entry(self, array: str, i: str) -> str:
+        return f"get({array}, {i} - 1)"
+
+    def total(self, array: str) -> str:
+        return f"aggregate({array}, CAST(0 AS DOUBLE), (s_, x_) -> s_ + x_)"
+
+    def distinct(self, array: str) -> str:
+        return f"array_distinct({array})"
+
+    def hold(self, x: str, name: str) -> str:
+        return f"explode(array({x})) AS {name}"
+
+    def sorted(self, array: str) -> str:
+        return f"array_sort({array})"
+
+    def numbers(self, a: str, b: str) -> str:
+        return f"if({b} < {a}, CAST(array() AS ARRAY<INT>), sequence(CAST({a} AS INT), CAST({b} AS INT)))"
+
+    def row(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def join(self, array: str, sep: str) -> str:
+        return f"array_join({array}, {self.lit(sep)})"
+
+    def list_(self, *items: str) -> str:
+        return "array(" + ", ".join(items) + ")"
+
     def series(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})"
 

@@ -68,11 +68,6 @@ def _(d):
     return f"SELECT doc_id, count(*) AS n, count(DISTINCT word) AS n_distinct, sum(length(word)) AS letters FROM {d.t('tok')} GROUP BY doc_id"
 
 
-@q("b5_sentences", "sent")
-def _(d):
-    return f"SELECT doc_id, count(*) AS n, sum(length(sentence)) AS chars FROM {d.t('sent')} GROUP BY doc_id"
-
-
 @q("b6_text_hash")
 def _(d):
     return f"SELECT doc_id, {d.sha('lower(trim(' + d.rr('text', '[ \\n\\t\\r]+', ' ') + '))')} AS h FROM {d.t('documents')}"
@@ -157,42 +152,6 @@ def _(d):
     return f"SELECT event_id, {d.json('props', 'k')} AS k, {d.json('props', 'v')} AS v FROM {d.t('events')}"
 
 
-@q("m1_language_seed")
-def _(d):
-    parts = []
-    docs = values(d, "s", "id, lang, text", SEED_DOCS)
-    for code, words in profiles.STOP.items():
-        among = ", ".join(d.lit(w) for w in words)
-        script = "[а-яёА-ЯЁ]" if profiles.SCRIPT[code] == "cyrillic" else "[a-zA-Z]"
-        parts.append(f"SELECT t.id, '{code}' AS code, CAST(sum(CASE WHEN t.word IN ({among}) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * max(CAST({d.rcount('s.text', script)} AS DOUBLE) / greatest(1, {d.rcount('s.text', '[a-zA-Zа-яёА-ЯЁ]')})) AS score, count(*) AS n FROM t JOIN s ON s.id = t.id GROUP BY t.id")
-    return f"""WITH {docs}, t AS (SELECT id, {d.explode(d.rall('lower(text)', profiles.WORD))} AS word FROM s), c AS ({' UNION ALL '.join(parts)}),
-    r AS (SELECT id, code, score, n, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS k FROM c)
-    SELECT id, CASE WHEN n < 3 OR score < 0.05 THEN 'unknown' ELSE code END AS code, round(score, 6) AS score FROM r WHERE k = 1"""
-
-
-@q("m2_language_distribution", "ptok")
-def _(d):
-    among = ", ".join(d.lit(w) for w in profiles.STOP_EN)
-    return f"""WITH p AS (SELECT doc_id, idx, count(*) AS n, CAST(sum(CASE WHEN word IN ({among}) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate FROM {d.t('ptok')} GROUP BY doc_id, idx HAVING count(*) >= 5)
-    SELECT doc_id, CASE WHEN rate >= 0.05 THEN 'en' ELSE 'unknown' END AS code, sum(n) AS words FROM p GROUP BY doc_id, CASE WHEN rate >= 0.05 THEN 'en' ELSE 'unknown' END"""
-
-
-@q("e13_language_share")
-def _(d):
-    return f"SELECT source, lang, sum(n_chars) AS chars, round(CAST(sum(n_chars) AS DOUBLE) / sum(sum(n_chars)) OVER (PARTITION BY source), 4) AS share FROM {d.t('documents')} GROUP BY source, lang"
-
-
-@q("m11_long_sentences", "sent")
-def _(d):
-    return f"SELECT doc_id, count(*) AS n, sum(CASE WHEN w > 40 THEN 1 ELSE 0 END) AS long_n, CAST(sum(CASE WHEN w > 40 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) > 0.25 AS many FROM (SELECT doc_id, {d.rcount('sentence', profiles.WORD)} AS w FROM {d.t('sent')}) z GROUP BY doc_id"
-
-
-@q("m12_academic_words", "tok")
-def _(d):
-    test = " OR ".join(f"word LIKE {d.lit(w + '%')}" for w in profiles.ACADEMIC_EN)
-    return f"SELECT doc_id, round(CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS share FROM {d.t('tok')} GROUP BY doc_id"
-
-
 @q("m13_citation_style")
 def _(d):
     return f"SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > 0 THEN 'numeric' WHEN b > 0 THEN 'author_year' ELSE 'none' END AS style FROM (SELECT doc_id, {d.rcount('text', profiles.NUMERIC_CITATION)} AS a, {d.rcount('text', '[(][A-Z][^()]*(19|20)[0-9][0-9][a-z]?[)]')} AS b FROM {d.t('documents')}) z"

@@ -36,6 +36,26 @@ def test_canonical_words_meet_across_scripts(spark):
     assert got[1] == got[2] == got[3] == "kitob" and got[9] == "ma'no"
 
 
-def test_language_of_seed_texts(spark):
-    got = {r.id: r.code for r in catalog.QUERIES["m1_language_seed"](spark, "/root/testdata/sf0.001").collect()}
-    assert got == {1: "uz", 2: "ru", 3: "en", 4: "unknown", 5: "unknown"}
+def test_languages_and_profiles(spark, tmp_path):
+    texts = [
+        "Bu kitob juda yaxshi va barcha o'quvchilar uchun kerak, chunki unda har bir mavzu alohida ko'rib chiqilgan.",
+        "Эта книга является очень полезной для всех учеников, потому что в ней есть всё, что надо знать об этом.",
+        "This book is very useful for all of the pupils because it has everything that they should know about it.",
+        "zzz qqq www vvv",
+        "two words",
+        "Ўқувчи китоб ўқиди ва қишлоққа борди",
+    ]
+    rows = [(i, t, "x", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.code for r in catalog.QUERIES["m1_language"](spark, str(tmp_path)).collect()}
+    assert got == {0: "uz", 1: "ru", 2: "en", 3: "unknown", 4: "unknown", 5: "unknown"}
+
+
+def test_signals_of_a_known_text(spark, tmp_path):
+    """Counts taken by hand: four sentences of 10, 10, 10 and 9 words, two of them starting with a marker."""
+    text = "However, the method by A. Karimov is robust and key results, tables and figures help. However, the method of e.g. Smith is a various analysis of data today. The pupils of the school read all of it in 2001 [3]. It is important to note that this is the end."
+    rows = [(1, text, "en", "s", len(text))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    r = catalog.QUERIES["l1_features"](spark, str(tmp_path)).first()
+    assert (r.code, r.n_sentences) == ("en", 4) and r.transition_start_ratio == 0.5 and r.opening_repetition == 0.5
+    assert abs(r.generic_phrase_density - 100 / r.n) < 1e-5 and abs(r.qualifier_density - 300 / r.n) < 1e-5 and r.triad_density == 0.25
