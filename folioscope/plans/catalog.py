@@ -11,7 +11,7 @@ from folioscope.functions import profiles
 from folioscope.operators import canonical
 from folioscope.operators import tokens as tk
 from folioscope.plans.dialect import DUCK, SPARK, Dialect
-from folioscope.plans import queries_corpus, queries_relational, queries_style, queries_text
+from folioscope.plans import queries_corpus, queries_relational, queries_structure, queries_style, queries_text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _STOP = queries_corpus.canonical_stop()
@@ -141,7 +141,7 @@ def _duck_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (queries_corpus, queries_relational, queries_style, queries_text):
+for _module in (queries_corpus, queries_relational, queries_structure, queries_style, queries_text):
     for _name, (_bases, _build) in _module.SHARED.items():
         QUERIES[_name] = _spark_query(_bases, _build)
         ORACLE_SQL[_name] = _duck_query(_bases, _build)

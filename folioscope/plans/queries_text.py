@@ -23,14 +23,6 @@ def values(d: Dialect, name: str, columns: str, rows: list[tuple]) -> str:
 
 
 SEED_WORDS = [(1, "Kitob"), (2, "Китоб"), (3, "kit​ob"), (4, "Ўқувчи"), (5, "oʻquvchi"), (6, "cтатья"), (7, "ёлка"), (8, "школа"), (9, "maʼno"), (10, "pасчёт"), (11, "щит"), (12, "ночь")]
-SEED_DOCS = [
-    (1, "uz", "Bu kitob juda yaxshi va barcha o'quvchilar uchun kerak, chunki unda har bir mavzu alohida ko'rib chiqilgan."),
-    (2, "ru", "Эта книга является очень полезной для всех учеников, потому что в ней есть всё, что надо знать об этом."),
-    (3, "en", "This book is very useful for all of the pupils because it has everything that they should know about it."),
-    (4, "xx", "zzz qqq www"),
-    (5, "xx", "two words"),
-]
-SEED_REFS = [(1, "1. Smith J. A study of things. Oxford, 2001."), (2, "[2] Karimov A. Ilmiy maqola. Toshkent, 2019."), (3, "3) Doe A. No year given."), (4, "4. Smith J. A study of things. Oxford, 2001."), (5, "Brown (1987) Old work.")]
 SEED_FILES = [(1, "report (1).docx"), (2, "Report.docx"), (3, "my_thesis-copy.pdf"), (4, "my thesis.pdf"), (5, "nusxa.txt")]
 SEED_URLS = [(1, "http://8.8.8.8/a"), (2, "http://10.0.0.1/a"), (3, "https://lex.uz/docs/1"), (4, "https://sub.lex.uz/x"), (5, "ftp://a.b/c"), (6, "http://192.168.1.4:8080/"), (7, "https://notlex.uz/")]
 
@@ -152,23 +144,6 @@ def _(d):
     return f"SELECT event_id, {d.json('props', 'k')} AS k, {d.json('props', 'v')} AS v FROM {d.t('events')}"
 
 
-@q("m13_citation_style")
-def _(d):
-    return f"SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN 'mixed' WHEN a > 0 THEN 'numeric' WHEN b > 0 THEN 'author_year' ELSE 'none' END AS style FROM (SELECT doc_id, {d.rcount('text', profiles.NUMERIC_CITATION)} AS a, {d.rcount('text', '[(][A-Z][^()]*(19|20)[0-9][0-9][a-z]?[)]')} AS b FROM {d.t('documents')}) z"
-
-
-@q("m15_references")
-def _(d):
-    year = d.rx("text", "(18|19|20)[0-9][0-9]")
-    return f"WITH {values(d, 'r', 'n, text', SEED_REFS)} SELECT n, {year} AS year, {year} = '' AS missing_year, {d.rx('text', '^ *\\[?([0-9]+)[\\]).]', 1)} AS number, count(*) OVER (PARTITION BY {d.rr('lower(text)', '^ *\\[?[0-9]+[\\]).] *', '')}) > 1 AS duplicate FROM r"
-
-
-@q("e20_reference_years")
-def _(d):
-    year = d.rx("text", "(18|19|20)[0-9][0-9]")
-    return f"WITH {values(d, 'r', 'n, text', SEED_REFS)}, y AS (SELECT n, {year} AS year FROM r) SELECT min(CASE WHEN year <> '' THEN CAST(year AS INT) END) AS least, max(CASE WHEN year <> '' THEN CAST(year AS INT) END) AS most, sum(CASE WHEN year = '' THEN 1 ELSE 0 END) AS missing, count(*) AS n FROM y".replace("CASE WHEN year <> '' THEN CAST(year AS INT) END", "CAST(nullif(year, '') AS INT)")
-
-
 @q("m18_formatting", "para")
 def _(d):
     return f"SELECT doc_id, sum({d.rcount('text', '  +')}) AS double_spaces, sum(CASE WHEN {d.rcount('text', '[A-Z]')} > 10 AND text = upper(text) THEN 1 ELSE 0 END) AS all_caps, sum({d.rcount('text', '[«»]')}) AS angle_quotes, sum({d.rcount('text', '[“”]')}) AS curly_quotes FROM {d.t('para')} GROUP BY doc_id"
@@ -214,18 +189,6 @@ def _(d):
     return f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE {d.rcount('text', '[^ \\n\\t\\r]+')} END AS n FROM {d.t('documents')}"
 
 
-@q("f9_section_ends", "para")
-def _(d):
-    return f"""WITH h AS (SELECT doc_id, idx, length(text) AS n, CASE WHEN length(text) < 20 THEN 1 WHEN length(text) < 40 THEN 2 ELSE 3 END AS level FROM {d.t('para')} WHERE length(text) < 60),
-    e AS (SELECT doc_id, idx, level, lead(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS own_end FROM h)
-    SELECT e.doc_id, e.idx, e.level, e.own_end, min(o.idx) AS section_end FROM e LEFT JOIN h o ON o.doc_id = e.doc_id AND o.idx > e.idx AND o.level <= e.level GROUP BY e.doc_id, e.idx, e.level, e.own_end"""
-
-
-@q("d9_block_sections", "para")
-def _(d):
-    return f"SELECT doc_id, idx, sum(CASE WHEN length(text) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS section FROM {d.t('para')}"
-
-
 @q("f12_section_sample", "para")
 def _(d):
     return f"SELECT doc_id, idx FROM (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM {d.t('para')}) z WHERE n <= 8 OR {d.idiv('k * 8', 'n')} <> {d.idiv('(k - 1 + n) * 8', 'n')} - 8"
@@ -234,11 +197,3 @@ def _(d):
 @q("conversation_order")
 def _(d):
     return f"SELECT conv_id, {d.agg_text('role', '>', 'turn')} AS roles, count(*) AS n, sum(length(text)) AS chars FROM {d.t('conversations')} GROUP BY conv_id"
-
-
-@q("m6_headings", "para")
-def _(d):
-    low = "lower(text)"
-    kind = f"CASE WHEN {d.rlike(low, '^(abstract|summary)[.:]?$')} THEN 'abstract' WHEN {d.rlike(low, '^(references|bibliography|works cited)[.:]?$')} THEN 'references' WHEN {d.rlike(low, '^(conclusions?|concluding remarks)[.:]?$')} THEN 'conclusion' ELSE 'section' END"
-    level = f"CASE WHEN {d.rlike(low, '^chapter +([ivxlc]+|[0-9]+)')} THEN 1 WHEN {d.rlike('text', '^[0-9]+[.][0-9]+[.][0-9]+[. ]')} THEN 3 WHEN {d.rlike('text', '^[0-9]+[.][0-9]+[. ]')} THEN 2 WHEN {d.rlike('text', '^(§ *)?[0-9]+[.)] +[A-Z]')} THEN 1 WHEN length(text) < 30 AND {d.rlike('text', '^[A-ZÀ-Þ][^.!?]*$')} THEN 2 END"
-    return f"SELECT doc_id, idx, level, kind FROM (SELECT doc_id, idx, {level} AS level, {kind} AS kind FROM {d.t('para')}) z WHERE level IS NOT NULL"
