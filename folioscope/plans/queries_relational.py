@@ -55,7 +55,11 @@ plain("j5_harvest_plan", "SELECT r.r_name AS source, n.n_name AS target, 50 AS l
 plain("j8_delete_cascade", "SELECT l.l_orderkey, count(*) AS n FROM {lineitem} l LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P' WHERE o.o_orderkey IS NOT NULL GROUP BY l.l_orderkey")
 plain("j9_structure_override", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, coalesce(l.quality, 0) AS level FROM {documents} d FULL OUTER JOIN {labels} l ON l.doc_id = d.doc_id")
 plain("n9_cache_insert_ignore", "SELECT user_id, event_type, min(event_id) AS event_id FROM {events} GROUP BY user_id, event_type")
-plain("n14_circuit_breaker", "SELECT event_id, user_id, errors, errors >= 3 AS dead FROM (SELECT event_id, user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS errors FROM {events}) z")
+plain(
+    "n14_circuit_breaker",
+    """SELECT event_id, user_id, errors, errors >= 3 AS dead FROM (SELECT event_id, user_id, sum(failed) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS errors FROM (
+    SELECT event_id, user_id, ts, failed, sum(1 - failed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed FROM {events}) x) y) z""",
+)
 plain("r1_pricing_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
 
 
@@ -115,5 +119,5 @@ def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES = {"n1_event_stream": hourly_stream}
-ORACLE_SQL = {"n1_event_stream": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"}
+QUERIES = {"hourly_event_stream": hourly_stream}
+ORACLE_SQL = {"hourly_event_stream": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"}

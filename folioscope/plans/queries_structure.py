@@ -13,7 +13,7 @@ from folioscope.plans.queries_corpus import canonical_stop
 SHARED: dict = {}
 
 THESIS = [
-    "A Study of Village Schools", "Table of contents", "Introduction .......... 3", "Chapter 1 The schools ...... 5", "1.1. History 6", "References ...... 40", "This line ends the contents because it has no page.",
+    "A Study of Village Schools", "Table of contents", "Introduction .......... 3", "Chapter 1 The schools ...... 5", "1.1. Village history 6", "References ...... 40", "This line ends the contents because it has no page.",
     "Introduction", "Schools of the valley were studied by many authors [1, 3-5]. The pupils read (Smith, 2001) and wrote.", "CHAPTER 1. THE SCHOOLS", "1.1. History of the schools",
     "The first school was opened in 1905. 2.5 million pupils followed it, as was found out [7].", "1.1.1. The first years", "Old papers tell little of them.", "1.3. Teachers of the valley", "Teachers came from the town.",
     "2.1 Present day", "«a long quotation that nobody would take for own words» [2] stands here.", "2.5 million pupils were counted.", "§ 2.2 The roads", "Conclusion.", "All was said.", "References",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioscope.functions import profiles
+from folioscope.operators.canonical import is_formula
 from folioscope.plans.dialect import Dialect
 
 SHARED: dict = {}
@@ -24,7 +25,8 @@ def values(d: Dialect, name: str, columns: str, rows: list[tuple]) -> str:
 
 SEED_WORDS = [(1, "Kitob"), (2, "Китоб"), (3, "kit​ob"), (4, "Ўқувчи"), (5, "oʻquvchi"), (6, "cтатья"), (7, "ёлка"), (8, "школа"), (9, "maʼno"), (10, "pасчёт"), (11, "щит"), (12, "ночь")]
 SEED_FILES = [(1, "report (1).docx"), (2, "Report.docx"), (3, "my_thesis-copy.pdf"), (4, "my thesis.pdf"), (5, "nusxa.txt")]
-SEED_URLS = [(1, "http://8.8.8.8/a"), (2, "http://10.0.0.1/a"), (3, "https://lex.uz/docs/1"), (4, "https://sub.lex.uz/x"), (5, "ftp://a.b/c"), (6, "http://192.168.1.4:8080/"), (7, "https://notlex.uz/")]
+SEED_DOIS = [(1, "https://doi.org/10.1/AB"), (2, "doi: 10.2/x"), (3, "http://dx.doi.org/10.3/Y"), (4, " 10.4/z ")]
+SEED_URLS = [(8, "http://[::1]/a"), (9, "http://100.64.3.2/"), (10, "https://a.uz:443/x"), (11, "http://LOCALHOST/"), (1, "http://8.8.8.8/a"), (2, "http://10.0.0.1/a"), (3, "https://lex.uz/docs/1"), (4, "https://sub.lex.uz/x"), (5, "ftp://a.b/c"), (6, "http://192.168.1.4:8080/"), (7, "https://notlex.uz/")]
 
 
 def canonical(d: Dialect, x: str) -> str:
@@ -79,8 +81,7 @@ def _(d):
 
 @q("b18_formulas", "para")
 def _(d):
-    compact = "replace(text, ' ', '')"
-    return f"SELECT doc_id, idx FROM {d.t('para')} WHERE length(text) <= 400 AND (text LIKE '%=%' OR text LIKE '%∑%') AND CAST({d.rcount(compact, '[-=+*/^_∑∫√()|<>0-9.,]')} AS DOUBLE) / greatest(1, length({compact})) > 0.35"
+    return f"SELECT doc_id, idx, {is_formula(d, 'text')} AS formula FROM {d.t('para')} WHERE {d.rlike('text', '[=∑∫]')}"
 
 
 @q("b21_years", "para")
@@ -89,6 +90,12 @@ def _(d):
 
 
 @q("b22_doi")
+def _(d):
+    bare = d.rr(d.rr("trim(lower(doi))", "^(https?://)?(dx[.])?doi[.]org/", ""), "^doi: *", "")
+    return f"WITH {values(d, 's', 'id, doi', SEED_DOIS)} SELECT id, {bare} AS doi FROM s"
+
+
+@q("bare_urls")
 def _(d):
     return f"SELECT page_id, lower({d.rr('url', '^https?://(www[.])?', '')}) AS bare FROM {d.t('pages')}"
 
@@ -101,9 +108,10 @@ def _(d):
 
 @q("a35_public_urls")
 def _(d):
-    host = d.rx("url", "^[a-z]+://([^/:?#]+)", 1)
-    private = d.rlike(host, "^(10[.]|127[.]|192[.]168[.]|169[.]254[.]|172[.](1[6-9]|2[0-9]|3[01])[.])")
-    return f"WITH {values(d, 'u', 'id, url', SEED_URLS)} SELECT id, ({d.rlike('url', '^https?://')} AND NOT {private} AND NOT {d.rlike('url', '^[a-z]+://[^/:]+:[0-9]+')}) AS allowed FROM u"
+    """Web addresses on ports 80 and 443 whose host is no private, local or reserved one."""
+    host, port = d.rx("url", "^[a-z]+://(\\[[^\\]]*\\]|[^/:?#]+)", 1), d.rx("url", "^[a-z]+://(?:\\[[^\\]]*\\]|[^/:]+):([0-9]+)", 1)
+    private = d.rlike(f"lower({host})", "^(localhost$|0[.]|10[.]|127[.]|192[.]168[.]|192[.]0[.][02][.]|198[.]1[89][.]|169[.]254[.]|100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|22[4-9][.]|2[345][0-9][.]|\\[(::1?|f[cd]|fe[89ab]))")
+    return f"WITH {values(d, 'u', 'id, url', SEED_URLS)} SELECT id, url, ({d.rlike('url', '^https?://')} AND NOT {private} AND {port} IN ('', '80', '443')) AS allowed FROM u UNION ALL SELECT CAST(page_id AS INT) + 1000, url, ({d.rlike('url', '^https?://')} AND NOT {private} AND {port} IN ('', '80', '443')) FROM {d.t('pages')}"
 
 
 @q("a15_text_scan", "para", "ptok")
@@ -146,7 +154,8 @@ def _(d):
 
 @q("m18_formatting", "para")
 def _(d):
-    return f"SELECT doc_id, sum({d.rcount('text', '  +')}) AS double_spaces, sum(CASE WHEN {d.rcount('text', '[A-Z]')} > 10 AND text = upper(text) THEN 1 ELSE 0 END) AS all_caps, sum({d.rcount('text', '[«»]')}) AS angle_quotes, sum({d.rcount('text', '[“”]')}) AS curly_quotes FROM {d.t('para')} GROUP BY doc_id"
+    long_ = f"sum(CASE WHEN {d.rcount('text', profiles.WORD)} > 350 THEN 1 ELSE 0 END) AS long_paragraphs"
+    return f"SELECT doc_id, {long_}, sum({d.rcount('text', '  +')}) AS double_spaces, sum(CASE WHEN {d.rcount('text', '[A-Z]')} > 10 AND text = upper(text) THEN 1 ELSE 0 END) AS all_caps, sum({d.rcount('text', '[«»]')}) AS angle_quotes, sum({d.rcount('text', '[“”]')}) AS curly_quotes FROM {d.t('para')} GROUP BY doc_id"
 
 
 @q("m19_overused_words", "tok")
@@ -179,9 +188,10 @@ def _(d):
     return f"WITH u AS (SELECT doc_id, {used} AS abbr FROM {d.t('documents')}), g AS (SELECT doc_id, abbr, count(*) AS n FROM u WHERE length(abbr) <= 6 GROUP BY doc_id, abbr) SELECT g.doc_id, g.abbr, g.n FROM g JOIN {d.t('documents')} x ON x.doc_id = g.doc_id WHERE g.n >= 2 AND NOT contains(x.text, concat('(', g.abbr, ')'))"
 
 
-@q("k1_quotes")
+@q("k1_quotes", "para")
 def _(d):
-    return f"SELECT doc_id, quote, length(quote) AS n FROM (SELECT doc_id, {d.explode(d.rall('text', '«[^«»]{12,1000}»|“[^“”]{12,1000}”|\"[^\"]{12,1000}\"'))} AS quote FROM {d.t('documents')}) z"
+    whole = f"(?:{profiles.QUOTE})(?:{profiles.CITED_AFTER})?"
+    return f"SELECT doc_id, idx, quote, {d.rlike('quote', '(?:' + profiles.CITED_AFTER + ')$')} AS cited FROM (SELECT doc_id, idx, {d.explode(d.rall('text', whole))} AS quote FROM {d.t('para')}) z"
 
 
 @q("k14_quick_words")
