@@ -64,9 +64,10 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     cq, cs, cn, ce, cx = _quantise(c)
     for at in range(0, len(q), STRIP):
         part = q[at : at + STRIP]
-        qq, qs, qn, qe, _ = _quantise(part)
+        qq, qs, qn, qe, qx = _quantise(part)
         about = _int_product(qq, cq) * qs[:, None] * cs[None, :]
-        bound = (qn[:, None] * ce[None, :] + qe[:, None] * cx[None, :]) * (1 + 1e-9) + 1e-12
+        # the last term covers the rounding of sums of that many products
+        bound = (qn[:, None] * ce[None, :] + qe[:, None] * cx[None, :]) * (1 + 1e-9) + 4 * (c.shape[1] + 8) * np.finfo(float).eps * qx[:, None] * cx[None, :]
         keep = min(k + 1, len(c))
         low = about - bound
         floor = np.partition(low, len(c) - keep, axis=1)[:, len(c) - keep] if keep == k + 1 else np.full(len(part), -np.inf)
@@ -145,13 +146,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     queries = _pack(rows.filter(asked).withColumn("qb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(q_blocks))), "qb", "dim")
     left = queries.select("qb", "dim", F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
     right = candidates.select("cb", "dim", "ids", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
-    tiles = left.join(right.hint("shuffle_hash"), ["qb", "cb", "dim"]).select("dim", "q_ids", "q_xs", "ids", "xs")
+    tiles = left.join(right.hint("shuffle_hash"), ["qb", "cb", "dim"]).select("qb", "dim", "q_ids", "q_xs", "ids", "xs")
+    # a task takes its tiles query block by query block, so that it holds the heaps of one block only
+    tiles = tiles.sortWithinPartitions("qb")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps = Heaps(k)
+        heaps, at = Heaps(k), None
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, q_ids, q_xs, ids, xs = (c[i].as_py() for c in batch.columns)
+                qb, dim, q_ids, q_xs, ids, xs = (c[i].as_py() for c in batch.columns)
+                if qb != at:
+                    yield from _rows(heaps)
+                    heaps, at = Heaps(k), qb
                 for query, near, scores in tile(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_xs, "<f8").reshape(-1, dim), np.frombuffer(ids, "<i8"), np.frombuffer(xs, "<f8").reshape(-1, dim), k):
                     heaps.add(query, near, scores)
         yield from _rows(heaps)

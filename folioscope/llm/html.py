@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame
 from folioscope.llm.common import map_slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_ORDER_START = re.compile(r"start\s*=\s*[\"']?(-?\d+)", re.I)
-_INPUT_HIDDEN = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+#: Without one of these letters in a tag's attributes, none of them matters here.
+_MATTERS = re.compile(r"hidden|style|start|type|span", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object svg math audio video canvas datalist".split())
+UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object audio video canvas datalist".split())
+#: What may stand in a head; anything else, and text, begins the body.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav search section summary tr caption thead tbody tfoot option optgroup".split())
 #: For a start tag: what it closes if open, and where the search for it stops.
@@ -45,32 +49,55 @@ CLOSES = {
 _CELL_STOP = frozenset(["table", "td", "th", "caption"])
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Attributes by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    if source and _MATTERS.search(source):
+        for m in _ATTRIBUTE.finditer(source):
+            out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
 class Node:
     __slots__ = ("attributes", "children", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, source: str = ""):
+        self.tag, self.attributes, self.children = tag, attributes(source), []
 
 
 def build(source: str) -> Node:
     """The tree of a page; children are nodes and strings with entities resolved."""
     root = Node("#root")
-    stack = [root]
+    stack, count = [root], Counter()
 
-    def add_text(text: str) -> None:
-        if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        count[node.tag] += 1
+
+    def pop(at: int) -> None:
+        for node in stack[at:]:
+            count[node.tag] -= 1
+        del stack[at:]
 
     def close(names: frozenset, stop: frozenset) -> None:
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in stop:
-                return
-            if stack[at].tag in names:
-                while len(stack) > at and stack[at:] and any(n.tag in names for n in stack[at:]):
-                    del stack[at:]
-                close(names, stop)
+        """Closes what is open of names, up to the next one of stop."""
+        while any(count[n] for n in names):
+            for at in range(len(stack) - 1, 0, -1):
+                if stack[at].tag in stop:
+                    return
+                if stack[at].tag in names:
+                    pop(at)
+                    break
+            else:
                 return
 
+    def add_text(text: str) -> None:
+        if text:
+            if count["head"] and not text.isspace():
+                close(frozenset(["head"]), frozenset())
+            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -83,39 +110,38 @@ def build(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+            if not count[tag]:
+                if tag == "p":
+                    stack[-1].children.append(Node("p"))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i].tag in _CELL_STOP and tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
                     break
             continue
+        if count["head"] and tag not in HEAD:
+            close(frozenset(["head"]), frozenset())
         if tag in BLOCK and tag not in ("html", "body", "option", "optgroup"):
-            if any(n.tag == "head" for n in stack):
-                close(frozenset(["head"]), frozenset())
             close(frozenset(["p"]), _CELL_STOP | {"button", "object"})
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag == "tr" and stack[-1].tag == "table":
-            stack.append(Node("tbody"))
-            stack[-2].children.append(stack[-1])
+            push(Node("tbody"))
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            stack.append(Node("tr"))
-            stack[-2].children.append(stack[-1])
+            push(Node("tr"))
         node = Node(tag, m[3] or "")
-        stack[-1].children.append(node)
-        if tag in VOID or (m[3] or "").endswith("/") and tag in ("svg", "path"):
-            continue
-        if tag in RAW:
+        if tag in VOID or (m[3] or "").endswith("/") and (count["svg"] or count["math"] or tag in ("svg", "math")):
+            stack[-1].children.append(node)
+        elif tag in RAW:
+            stack[-1].children.append(node)
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             text = source[at : stop.start()] if stop else source[at:]
             node.children.append(entities.unescape(text) if tag in ("textarea", "title") else text)
             at = stop.end() if stop else end
-            continue
-        stack.append(node)
+        else:
+            push(node)
     return root
 
 
@@ -157,20 +183,49 @@ class _Lines:
         self.blank = True
 
 
-def _visible(node: Node) -> bool:
-    return not (node.tag in UNSEEN or node.attributes and _HIDDEN_ATTRIBUTE.search(node.attributes) or node.tag == "input" and _INPUT_HIDDEN.search(node.attributes))
+def _shown(node: Node, inherited: bool) -> bool | None:
+    """Whether a node's own text is visible; None if nothing below it is displayed."""
+    if node.tag in UNSEEN:
+        return None
+    a = node.attributes
+    if not a:
+        return inherited
+    if "hidden" in a or node.tag == "input" and a.get("type", "").strip().lower() == "hidden":
+        return None
+    for rule in a.get("style", "").lower().split(";"):
+        name, _, value = rule.partition(":")
+        name, value = name.strip(), value.replace("!important", "").strip()
+        if name == "display" and value == "none":
+            return None
+        if name == "visibility":
+            inherited = value not in ("hidden", "collapse")
+    return inherited
+
+
+def _number(text: str | None, least: int, most: int, otherwise: int) -> int:
+    m = re.match(r"\s*(-?\d{1,9})", text or "")
+    return min(most, max(least, int(m[1]))) if m else otherwise
+
+
+def _run(task: Generator) -> None:
+    """Runs a task that yields its sub-tasks: depth is a list here, not the call stack."""
+    todo = [task]
+    while todo:
+        try:
+            todo.append(next(todo[-1]))
+        except StopIteration:
+            todo.pop()
 
 
-def _render(node: Node, out: _Lines, depth: int) -> None:
-    number = 1
-    if node.tag == "ol" and (m := _ORDER_START.search(node.attributes)):
-        number = int(m[1])
-    todo = list(node.children)
-    for child in todo:
+def _render(node: Node, out: _Lines, shown: bool) -> Generator:
+    number = _number(node.attributes.get("start"), -(10**9), 10**9, 1) if node.tag == "ol" else 1
+    for child in node.children:
         if isinstance(child, str):
-            out.text(child)
+            if shown:
+                out.text(child)
             continue
-        if not _visible(child):
+        seen = _shown(child, shown)
+        if seen is None:
             continue
         tag = child.tag
         if tag == "br":
@@ -179,84 +234,108 @@ def _render(node: Node, out: _Lines, depth: int) -> None:
             out.space()
         elif tag == "table":
             out.space()
-            _table(child, out)
+            yield _table(child, out, seen)
             out.space()
         elif tag == "pre":
             out.space()
-            for line in _plain(child).strip("\n").split("\n"):
+            for line in _plain(child, seen).strip("\n").split("\n"):
                 out.put(line.rstrip())
             out.space()
         elif tag == "li":
             out.end()
             inner = _Lines()
-            _guarded(child, inner, depth + 1)
+            yield _render(child, inner, seen)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = _finish(inner)
-            for i, line in enumerate(lines):
+            for i, line in enumerate(_finish(inner)):
                 out.put((mark if not i else " " * len(mark)) + line if line else "")
         elif tag in BLOCK:
             spaced = tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li")
             out.space() if spaced else out.end()
-            _guarded(child, out, depth + 1)
+            yield _render(child, out, seen)
             out.space() if spaced else out.end()
         else:
-            _guarded(child, out, depth + 1)
-
+            yield _render(child, out, seen)
 
-def _guarded(node: Node, out: _Lines, depth: int) -> None:
-    """Renders a child; below 150 levels the text alone, so that depth is no limit."""
-    if depth > 150:
-        out.text(_plain(node))
-    else:
-        _render(node, out, depth)
 
-
-def _plain(node: Node) -> str:
-    parts, todo = [], [node]
+def _plain(node: Node, shown: bool) -> str:
+    parts: list[str] = []
+    todo: list[tuple] = [(node, shown)]
     while todo:
-        x = todo.pop()
+        x, seen = todo.pop()
         if isinstance(x, str):
-            parts.append(x)
-        elif x is node or _visible(x):
+            if seen:
+                parts.append(x)
+            continue
+        below = seen if x is node else _shown(x, seen)
+        if below is not None:
             if x.tag == "br":
                 parts.append("\n")
-            todo += reversed(x.children)
+            todo += [(c, below) for c in reversed(x.children)]
     return "".join(parts)
 
 
-def _table(table: Node, out: _Lines) -> None:
-    rows: list[list[str]] = []
-    todo = list(reversed(table.children))
+def _table(table: Node, out: _Lines, shown: bool) -> Generator:
+    """Rows of cells on a grid: a cell may span columns and rows; what stands loose in a table goes before it."""
+    rows: list[dict[int, tuple[int, str]]] = []
+    taken: dict[int, int] = {}
+    todo = [(c, shown) for c in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, above = todo.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and above:
                 out.text(x)
                 out.end()
-        elif not _visible(x):
             continue
+        seen = _shown(x, above)
+        if seen is None:
+            continue
+        if x.tag in ("thead", "tbody", "tfoot"):
+            taken = {}
+            todo += [(c, seen) for c in reversed(x.children)]
         elif x.tag == "tr":
-            cells = []
+            row, at = {}, 0
             for c in x.children:
                 if isinstance(c, str):
-                    if c.strip():
-                        cells.append(" ".join(c.split()))
-                elif _visible(c):
-                    inner = _Lines()
-                    _guarded(c, inner, 100)
-                    cells.append(" ".join(line.strip() for line in _finish(inner) if line.strip()))
-            rows.append(cells)
-        elif x.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(x.children)
-        else:
-            _guarded(x, out, 100)
+                    if c.strip() and seen:
+                        out.text(c)
+                        out.end()
+                    continue
+                inside = _shown(c, seen)
+                if inside is None:
+                    continue
+                while taken.get(at):
+                    at += 1
+                inner = _Lines()
+                yield _render(c, inner, inside)
+                span = _number(c.attributes.get("colspan"), 1, 1000, 1)
+                row[at] = span, " ".join(line.strip() for line in _finish(inner) if line.strip())
+                down = _number(c.attributes.get("rowspan"), 0, 65534, 1) or 65534
+                for i in range(at, at + span):
+                    taken[i] = down
+                at += span
+            taken = {i: n - 1 for i, n in taken.items() if n > 1}
+            rows.append(row)
+        elif x.tag == "caption" or x.tag not in ("colgroup", "col"):
+            yield _render(x, out, seen)
             out.end()
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
+    width = [0] * max((at + span for r in rows for at, (span, _) in r.items()), default=0)
+    for spans in (1, 2):  # cells of one column first, then what wider ones need beyond them
+        for r in rows:
+            for at, (span, text) in r.items():
+                if span == 1 if spans == 1 else span > 1:
+                    have = sum(width[at : at + span]) + 3 * (span - 1)
+                    width[at + span - 1] += max(0, len(text) - have)
     for r in rows:
-        line = " | ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip()
-        if line:
-            out.put(line)
+        cells, at = [], 0
+        while at < len(width):
+            span, text = r.get(at, (1, ""))
+            cells.append(text.ljust(sum(width[at : at + span]) + 3 * (span - 1)))
+            at += span
+        while cells and not cells[-1].strip():
+            cells.pop()
+        if cells:
+            out.put(" | ".join(cells).rstrip())
 
 
 def _finish(out: _Lines) -> list[str]:
@@ -271,7 +350,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     out = _Lines()
-    _guarded(build(source), out, 0)
+    _run(_render(build(source), out, True))
     return "\n".join(_finish(out))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -302,6 +303,30 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>t</title>Hello <b>world</b>", "Hello world"),
+        ('<p class="btn hidden md">a</p><p title="the hidden truth">b</p><p data-hidden=1>c</p><p hidden>d</p><p HIDDEN="">e</p>', "a\n\nb\n\nc"),
+        ('<div style="display : NONE">a</div><div style="visibility:hidden">b<i style="visibility:visible">c</i>d</div><div aria-hidden="true">e</div>', "c\ne"),
+        ("<table><tr><td colspan=2>wide cell here<td>x<tr><td>a<td>b<td>y<tr><td rowspan=2>r<td>1<td>z<tr><td>2<td>w</table>", "wide cell here | x\na | b          | y\nr | 1          | z\n  | 2          | w"),
+        ("<p>before<table>loose<tr><td>in</table>after", "before\n\nloose\nin\n\nafter"),
+        ("<svg><title>no</title><text>shown</text></svg> <math><mi>x</mi></math>", "shown x"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a\n  - b\n- c"),
+        ("a < b &amp; c <input type=hidden value=x><input type='text'>", "a < b & c"),
+    ],
+)
+def test_what_is_visible(page, text):
+    assert html.render(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    assert html.render("<div>" * 20_000 + "core" + "</div>" * 20_000) == "core"
+    assert html.render("<table><tr><td>" * 1000 + "core") == "core" and html.render("<b>" * 30_000 + "x" + "<p>y" * 3000).startswith("x")
+    assert time.time() - began < 5
+
+
 # 9 ------------------------------------------------------------------------------------------------
 def test_fingerprints(docs, empty, texts):
     got = {r.doc_id: r for r in fingerprint.compare_edited(docs).collect()}
