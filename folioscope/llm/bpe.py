@@ -38,7 +38,7 @@ class MergeTransducer:
     #: Positions after which settled tokens are emitted and forgotten.
     STRIDE = 4096
 
-    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 300_000, max_moves: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_pairs: int = 600_000, max_moves: int = 400_000):
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 2
         self.spelling = {i: t for t, i in ranks.items()}
@@ -226,7 +226,7 @@ class Utf8Decoder:
 class Codec:
     """Encodes and decodes whole texts; ids travel as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 150_000):
         self.machine = MergeTransducer(ranks)
         self.find = regex.compile(pattern).findall
         machine = self.machine
