@@ -75,7 +75,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,10 +83,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Removes what written() has written, once nothing reads it any more."""
     for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, if it can."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,26 +1,31 @@
 """Language-model scores of a hierarchical Pitman-Yor model, trained and applied in a distributed way.
 
-Restaurants: one per context, where a context is the previous token's hash in one of CONTEXTS
-buckets; all share the root restaurant as parent, whose base is uniform over the vocabulary and
-one unknown word. Every table of a context restaurant is a customer of the root.
-
-Everything about one word is in one place: its counts by context, its tables in every context and its
-root customers. A Gibbs sweep reseats, for every (context, word), the customers one after the other:
-a customer opens a table with probability a / (a + i - d t), a = (theta + d T) p0(word). The totals that cross
-words (tables T per context, customers and tables of the root: CONTEXTS + 2 numbers) are those of the sweep
-before, summed over the cluster between sweeps. Seats are drawn with generators seeded by sweep and part,
+Restaurants: one per context, which is the token before (or the begin of the text), so their number grows with the
+corpus; all share the root restaurant as parent, whose base is uniform over the vocabulary and one unknown
+word. Every table of a context restaurant is a customer of the root.
+
+A Gibbs sweep reseats, for every (context, word), the customers one after the other: a customer opens a table
+with probability a / (a + i - d t), a = (theta + d T) p0(word). T, the tables of the whole context, and the
+root's totals are those of the sweep before. Seats are drawn with generators seeded by sweep and part,
 so any task can repeat them. Predictive probabilities are averaged over the sampled sweeps.
 
-Words that make up more than 1 / HEAVY of all tokens (HEAVY of them at most) are counted by context before
-the shuffle and scored where the texts are, from a table of at most HEAVY * CONTEXTS numbers; all
-other words go to the part of their hash, and only sums per document come back.
+Heavy words are those of more than 1 / HEAVY of all tokens, HEAVY of them at most, and the marks of a text's begin and
+end. A token goes to the part of its word's hash, or, if the word is heavy, to that of its context; tokens with
+both heavy are counted before the shuffle and scored where the texts are, from a table of HEAVY^2 numbers at most.
+So what a light word needs of the root is in its part, and what heavy words and heavy contexts need in
+total comes through the driver, a few numbers each. Totals of light contexts, any number of them, are
+exchanged between parts by hash: every part sends its tables per context to the context's part and gets the sums
+back, after the first sweep only for contexts with a word seen twice, since no other can change. Parts
+are bucketed, so that only these messages are shuffled. Only sums per text come back in the end.
 """
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +34,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, slices, words, written
+from folioscope.llm.common import checkpoint, discard, remove, shared_dir, slices, words, written
 
-CONTEXTS = 4096
 HEAVY = 2000
 HEAVY_GROUP = 16
 BURN_IN, SAMPLES = 1, 3
 D0, THETA0, D1, THETA1 = 0.5, 1.0, 0.75, 1.0
 #: Text bytes of one part, and tokens that a task sorts at once.
-PART_BYTES, BATCH_TOKENS = 12 << 20, 600_000
+PART_BYTES, BATCH_TOKENS = 10 << 20, 600_000
 #: The end of a text and the context of its first token; no word holds a space.
-END, BEGIN = xxhash.xxh3_64_intdigest(b" "), xxhash.xxh3_64_intdigest(b"  ") % CONTEXTS
+END, BEGIN = xxhash.xxh3_64_intdigest(b" "), xxhash.xxh3_64_intdigest(b"  ")
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -62,14 +66,14 @@ _hashes = _Hashes()
 
 
 def _tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's tokens, the end included, and their contexts."""
+    """Hashes of a text's tokens, the end included, and of the tokens before them."""
     tokens = words(text)
     h = np.empty(len(tokens) + 1, np.uint64)
     h[:-1] = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
     h[-1] = END
-    context = np.empty(len(h), np.uint16)
+    context = np.empty(len(h), np.uint64)
     context[0] = BEGIN
-    context[1:] = h[:-1] % np.uint64(CONTEXTS)
+    context[1:] = h[:-1]
     return h, context
 
 
@@ -94,7 +98,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def heavy_words(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of all tokens that are more than 1 / HEAVY of the training tokens (and of a few others).
+    """Sorted hashes of all tokens that are more than 1 / HEAVY of the training tokens, and of BEGIN and END.
 
     A token that frequent is so in one batch at least; each batch names those, and their sums are kept if large.
     """
@@ -122,47 +126,72 @@ def heavy_words(rows: DataFrame) -> np.ndarray:
     sums = checkpoint(rows.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     total = sums.filter("w is null").agg(F.sum("c")).first()[0] or 0
     got = sums.filter(F.col("w").isNotNull() & (F.col("c") * HEAVY >= total)).select("w").collect()
-    return np.sort(np.array([r[0] for r in got], np.int64).view(np.uint64))
+    return np.unique(np.append(np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([BEGIN, END], np.uint64)))
+
+
+def _index(heavy: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in heavy, -1 for what is not there."""
+    at = np.searchsorted(heavy, h)
+    at[at == len(heavy)] = 0
+    return np.where(heavy[at] == h, at, -1)
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a hash; it does not fall as the hash grows."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(groups: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """(group, from, to) of the groups 0 to n - 1 that occur in a sorted array."""
+    cuts = np.searchsorted(groups, np.arange(n + 1))
+    return ((g, int(a), int(b)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a)
+
+
+def _emit(out: list[tuple[int, bytes]], name: str) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(out), 64):
+        some = out[lo : lo + 64]
+        yield pa.record_batch([pa.array([p for p, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], [name, "data"])
 
 
 def _route(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
-    """part, data: heavy words' training counts by context, and the other words' tokens with their rows."""
+    """part, data: training counts of heavy words after heavy ones (part < 0), and all other tokens with their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_ in _batches(batches):
             h = np.concatenate([r[3] for r in rows_])
             context = np.concatenate([r[4] for r in rows_])
-            n = np.array([len(r[3]) for r in rows_])
-            row = np.repeat(np.arange(len(rows_), dtype=np.uint32), n)
+            row = np.repeat(np.arange(len(rows_), dtype=np.uint32), [len(r[3]) for r in rows_])
             train = np.array([r[2] for r in rows_], bool)
             keys = np.array([_row_key(r[0], r[1]) for r in rows_], np.uint64)
-            at = np.searchsorted(heavy, h)
-            at[at == len(heavy)] = 0
-            is_heavy = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
+            word_at, context_at = _index(heavy, h), _index(heavy, context)
+            both = (word_at >= 0) & (context_at >= 0)
+            seen = both & train[row]
             out: list[tuple[int, bytes]] = []
-            code, count = np.unique(at[is_heavy & train[row]].astype(np.int64) * CONTEXTS + context[is_heavy & train[row]], return_counts=True)
-            cuts = np.searchsorted(code, np.arange(0, len(heavy) + HEAVY_GROUP, HEAVY_GROUP) * CONTEXTS)
-            for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    out.append((-1 - g, _pack(code=code[a:b], count=count[a:b])))
-            h, context, row = h[~is_heavy], context[~is_heavy], row[~is_heavy]
-            order = np.argsort(h, kind="stable")
-            h, context, row = h[order], context[order], row[order]
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    word, times = np.unique(h[a:b], return_counts=True)
-                    mine, short = np.unique(row[a:b], return_inverse=True)
-                    out.append((p, _pack(word=word, times=times.astype(np.uint32), context=context[a:b], row=short.astype(np.uint32), keys=keys[mine], train=train[mine])))
-            for lo in range(0, len(out), 64):
-                yield pa.record_batch([pa.array([p for p, _ in out[lo : lo + 64]], pa.int32()), pa.array([d for _, d in out[lo : lo + 64]], pa.binary())], ["part", "data"])
+            code, count = np.unique(word_at[seen] * len(heavy) + context_at[seen], return_counts=True)
+            for g, a, b in _cuts(code // (HEAVY_GROUP * len(heavy)), -(-len(heavy) // HEAVY_GROUP)):
+                out.append((-1 - g, _pack(code=code[a:b], count=count[a:b])))
+            rest = ~both
+            part = _part(np.where(word_at < 0, h, context)[rest], parts)
+            h, context, row = h[rest], context[rest], row[rest]
+            order = np.lexsort((h, part))
+            h, context, row, part = h[order], context[order], row[order], part[order]
+            for p, a, b in _cuts(part, parts):
+                word, times = np.unique(h[a:b], return_counts=True)
+                before, context_ = np.unique(context[a:b], return_inverse=True)
+                mine, short = np.unique(row[a:b], return_inverse=True)
+                short = [x.astype(np.uint16 if len(of) < 1 << 16 else np.uint32) for x, of in ((context_, before), (short, mine))]
+                out.append((p, _pack(word=word, times=times.astype(np.uint32), before=before, context=short[0], row=short[1], keys=keys[mine], train=train[mine])))
+            yield from _emit(out, "part")
 
     return rows.mapInArrow(run, "part int, data binary")
 
 
-def _gather(routed: DataFrame) -> DataFrame:
-    """part, counts (of (word, context) pairs), tokens (pair and row of every light token): one row a part."""
+def _gather(routed: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """part, counts (of (word, context) pairs), tokens (pair and row of every token): one row a part."""
+
+    def pairs(word: np.ndarray, word_at: np.ndarray, context: np.ndarray, context_at: np.ndarray) -> tuple:
+        code, pair = np.unique(word_at.astype(np.int64) * len(context) + context_at, return_inverse=True)
+        return pair, {"word": word, "context": context, "pair_word": (code // len(context)).astype(np.uint32), "pair_context": (code % len(context)).astype(np.uint32)}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -171,22 +200,21 @@ def _gather(routed: DataFrame) -> DataFrame:
             code = np.concatenate([p["code"] for p in pieces])
             code, at = np.unique(code, return_inverse=True)
             c = np.bincount(at, np.concatenate([p["count"] for p in pieces]), len(code)).astype(np.int64)
-            word, pair_word = np.unique(code // CONTEXTS, return_inverse=True)
-            counts = _pack(word=word, pair_word=pair_word.astype(np.uint32), pair_context=(code % CONTEXTS).astype(np.uint16), c=c)
-            return pa.table({"part": pa.array([part], pa.int32()), "counts": [counts], "tokens": pa.array([None], pa.binary())})
+            word, word_at = np.unique(code // len(heavy), return_inverse=True)
+            _, counts = pairs(heavy[word], word_at, heavy, code % len(heavy))
+            return pa.table({"part": pa.array([part], pa.int32()), "counts": [_pack(**counts, c=c)], "tokens": pa.array([None], pa.binary())})
         pieces.sort(key=lambda p: p["keys"].tobytes())
-        h = np.concatenate([np.repeat(p["word"], p["times"]) for p in pieces])
         start = np.cumsum([0, *(len(p["keys"]) for p in pieces[:-1])])
         row = np.concatenate([p["row"] + np.uint32(s) for p, s in zip(pieces, start, strict=True)])
         keys, train = np.concatenate([p["keys"] for p in pieces]), np.concatenate([p["train"] for p in pieces])
-        word, at = np.unique(h, return_inverse=True)
-        code = at.astype(np.int64) * CONTEXTS + np.concatenate([p["context"] for p in pieces])
-        del h, at
-        code, pair = np.unique(code, return_inverse=True)
-        c = np.bincount(pair, train[row], len(code)).astype(np.int64)
-        counts = _pack(word=word, pair_word=(code // CONTEXTS).astype(np.uint32), pair_context=(code % CONTEXTS).astype(np.uint16), c=c)
+        word, context = (np.unique(np.concatenate([p[name] for p in pieces])) for name in ("word", "before"))
+        word_at = np.concatenate([np.repeat(np.searchsorted(word, p["word"]), p["times"]) for p in pieces])
+        context_at = np.concatenate([np.searchsorted(context, p["before"])[p["context"]] for p in pieces])
+        del pieces
+        pair, counts = pairs(word, word_at, context, context_at)
+        c = np.bincount(pair, train[row], len(counts["pair_word"])).astype(np.int64)
         tokens = _pack(pair=pair.astype(np.uint32), row=row, keys=keys)
-        return pa.table({"part": pa.array([part], pa.int32()), "counts": [counts], "tokens": [tokens]})
+        return pa.table({"part": pa.array([part], pa.int32()), "counts": [_pack(**counts, c=c)], "tokens": [tokens]})
 
     return routed.groupBy("part").applyInArrow(run, "part int, counts binary, tokens binary")
 
@@ -209,14 +237,31 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np
     return t
 
 
+def _root_weight(totals: dict) -> float:
+    """What the root gives to any word of the vocabulary, or an unknown one, beside its own customers."""
+    return (THETA0 + D0 * totals["root_t"]) / (totals["vocabulary"] + 1)
+
+
 class Seating:
-    """The chain of sweeps over one part's counts, given the totals before each sweep."""
+    """The chain of sweeps over one part's counts, given the totals before each sweep.
+
+    totals: of heavy words and contexts, and of the root (see _totals). replies: (sweep, owner, data) messages with the
+    totals of the light contexts, in the order of their hashes.
+    """
 
-    def __init__(self, part: int, counts: dict[str, np.ndarray]):
-        self.part, self.word, self.pair_word, self.pair_context = part, counts["word"], counts["pair_word"].astype(np.intp), counts["pair_context"].astype(np.intp)
-        self.c = counts["c"]
-        self.word_c = np.bincount(self.pair_word, self.c, len(self.word)).astype(np.int64)
+    def __init__(self, part: int, counts: dict[str, np.ndarray], heavy: np.ndarray, replies: list[tuple[int, int, bytes]] = ()):
+        self.part, self.word, self.context = part, counts["word"], counts["context"]
+        self.pair_word, self.pair_context, self.c = counts["pair_word"].astype(np.intp), counts["pair_context"].astype(np.intp), counts["c"]
+        word_at, context_at = _index(heavy, self.word), _index(heavy, self.context)
+        self.heavy_words, self.heavy_contexts, self.light = np.flatnonzero(word_at >= 0), np.flatnonzero(context_at >= 0), np.flatnonzero(context_at < 0)
+        self.heavy_word_at, self.heavy_context_at = word_at[self.heavy_words], context_at[self.heavy_contexts]
+        self.word_c = np.bincount(self.pair_word, self.c, len(self.word))
         self.tables = (self.c > 0).astype(np.float64)
+        self.twice = np.bincount(self.pair_context, self.c > 1, len(self.context)) > 0
+        self.alive, self.context_c, self.context_t = np.ones(len(self.light), bool), np.zeros(len(self.context)), np.zeros(len(self.context))
+        self.replies: dict[int, list[dict]] = {}
+        for sweep, _, data in sorted(replies, key=lambda r: r[:2]):
+            self.replies.setdefault(sweep, []).append(_unpack(data))
         self._root(None, 0)
 
     def _root(self, totals: dict | None, sweep: int) -> None:
@@ -224,104 +269,205 @@ class Seating:
         if totals is None:
             self.root_t = (self.root_c > 0).astype(np.float64)
         else:
-            a = np.full(len(self.word), (THETA0 + D0 * totals["root_t"]) / (totals["vocabulary"] + 1))
-            self.root_t = seat(self.root_c.astype(np.int64), a, D0, np.random.default_rng([7, sweep, self.part & 0xFFFFFFFF]))
+            a = np.full(len(self.word), _root_weight(totals))
+            # customers of heavy words sit in many parts, so their tables are drawn with the totals
+            mine = self.root_c.astype(np.int64)
+            mine[self.heavy_words] = 0
+            self.root_t = seat(mine, a, D0, np.random.default_rng([7, sweep, self.part & 0xFFFFFFFF]))
+
+    def see(self, number: int, totals: dict) -> None:
+        """Takes the totals after sweep number - 1 of all contexts of this part."""
+        self.context_c[self.heavy_contexts] = totals["context_c"][self.heavy_context_at]
+        self.context_t[self.heavy_contexts] = totals["context_t"][self.heavy_context_at]
+        got = self.replies.get(number, [])
+        if got:
+            self.context_t[self.light[self.alive]] = np.concatenate([x["t"] for x in got])
+            if number == 0:
+                self.context_c[self.light] = np.concatenate([x["c"] for x in got])
+                self.alive = np.concatenate([x["alive"] for x in got])
 
     def parent(self, totals: dict) -> np.ndarray:
-        return (self.root_c - D0 * self.root_t + (THETA0 + D0 * totals["root_t"]) / (totals["vocabulary"] + 1)) / (THETA0 + totals["root_c"])
+        c, t = self.root_c.copy(), self.root_t.copy()
+        c[self.heavy_words], t[self.heavy_words] = totals["heavy_c"][self.heavy_word_at], totals["heavy_t"][self.heavy_word_at]
+        return (c - D0 * t + _root_weight(totals)) / (THETA0 + totals["root_c"])
 
     def sweep(self, number: int, totals: dict) -> None:
-        a = (THETA1 + D1 * totals["context_t"][self.pair_context]) * self.parent(totals)[self.pair_word]
+        self.see(number, totals)
+        a = (THETA1 + D1 * self.context_t[self.pair_context]) * self.parent(totals)[self.pair_word]
         self.tables = seat(self.c, a, D1, np.random.default_rng([3, number, self.part & 0xFFFFFFFF]))
         self._root(totals, number)
 
-    def predictive(self, totals: dict) -> np.ndarray:
+    def own(self) -> np.ndarray:
+        """What each pair's word has of its own in its context, once the totals of this sweep were seen."""
+        return np.maximum(self.c - D1 * self.tables, 0) / (THETA1 + self.context_c[self.pair_context])
+
+    def predictive(self, number: int, totals: dict) -> np.ndarray:
         """Probability of each pair's word in its context, with the totals of this very sweep."""
+        self.see(number, totals)
         context = self.pair_context
-        own = np.maximum(self.c - D1 * self.tables, 0)
-        return (own + (THETA1 + D1 * totals["context_t"][context]) * self.parent(totals)[self.pair_word]) / (THETA1 + totals["context_c"][context])
-
-
-def _totals(parts: DataFrame, history: list[dict]) -> dict:
-    """Totals after one sweep more than history has: CONTEXTS + 4 numbers, summed over the parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context_c, context_t, rest = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(4)
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = Seating(part, _unpack(data.as_py()))
+        return self.own() + (THETA1 + D1 * self.context_t[context]) / (THETA1 + self.context_c[context]) * self.parent(totals)[self.pair_word]
+
+
+class Chain:
+    """The parts, bucketed by part, with the totals after each sweep and the replies to each part."""
+
+    def __init__(self, gathered: DataFrame, heavy: np.ndarray, parts: int):
+        spark = gathered.sparkSession
+        name = f"pylm_{uuid.uuid4().hex}"
+        self.heavy, self.parts, self.path = heavy, parts, f"{shared_dir(spark)}/{name}"
+        gathered.write.bucketBy(parts, "part").option("path", self.path).saveAsTable(name)
+        atexit.register(remove, spark, self.path)
+        self.table, self.history, self.replies = spark.table(name), [], None
+
+    def rows(self, *columns: str) -> DataFrame:
+        """part, columns and replies, one row a part; the messages come to the buckets."""
+        own = self.table.select("part", *columns)
+        if self.replies is None:
+            return own.withColumn("replies", F.lit(None).cast("array<struct<sweep:int,owner:int,data:binary>>"))
+        replies = self.replies.groupBy("part").agg(F.collect_list(F.struct("sweep", "owner", "data")).alias("replies"))
+        return own.join(replies, "part", "left")
+
+    def seatings(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+        """Reads batches of rows(): (seating, further columns) one part at a time."""
+        heavy = self.heavy
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = batch.slice(at, 1).to_pylist()[0]
+                    replies = [(r["sweep"], r["owner"], r["data"]) for r in row.pop("replies") or ()]
+                    yield Seating(row.pop("part"), _unpack(row.pop("counts")), heavy, replies), row
+
+        return read
+
+    def sweep(self) -> None:
+        """Adds the totals after one sweep more than before (at first: one table a pair), and the replies about light contexts."""
+        read, history, heavy, parts = self.seatings(), self.history, self.heavy, self.parts
+        n, now = len(heavy), len(history)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(4 * n + 4)
+            for s, _ in read(batches):
                 for number, totals in enumerate(history):
                     s.sweep(number, totals)
-                context_c += np.bincount(s.pair_context, s.c, CONTEXTS)
-                context_t += np.bincount(s.pair_context, s.tables, CONTEXTS)
-                rest += [s.root_c.sum(), s.root_t.sum(), (s.word_c > 0).sum(), s.word_c.sum()]
-        yield pa.record_batch([pa.array(np.arange(CONTEXTS + 4), pa.int32()), pa.array(np.concatenate([context_c, rest])), pa.array(np.concatenate([context_t, np.zeros(4)]))], ["i", "c", "t"])
-
-    rows = parts.select("part", "counts").mapInArrow(run, "i int, c double, t double").groupBy("i").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
-    c, t = np.zeros(CONTEXTS + 4), np.zeros(CONTEXTS + 4)
-    for i, x, y in rows:
-        c[i], t[i] = x, y
-    return {"context_c": c[:CONTEXTS], "context_t": t[:CONTEXTS], "root_c": c[CONTEXTS], "root_t": c[CONTEXTS + 1], "vocabulary": int(c[CONTEXTS + 2]), "tokens": int(c[CONTEXTS + 3])}
+                t = np.bincount(s.pair_context, s.tables, len(s.context))
+                c = np.bincount(s.pair_context, s.c, len(s.context))
+                np.add.at(sums, s.heavy_context_at, c[s.heavy_contexts])
+                np.add.at(sums, n + s.heavy_context_at, t[s.heavy_contexts])
+                np.add.at(sums, 2 * n + s.heavy_word_at, s.root_c[s.heavy_words])
+                np.add.at(sums, 3 * n + s.heavy_word_at, s.word_c[s.heavy_words])
+                light = np.ones(len(s.word), bool)
+                light[s.heavy_words] = False
+                sums[4 * n :] += [s.root_c[light].sum(), s.root_t[light].sum(), (s.word_c[light] > 0).sum(), s.word_c[light].sum()]
+                some = s.light[s.alive]
+                ups = []
+                for owner, a, b in _cuts(_part(s.context[some], parts), parts):
+                    mine = some[a:b]
+                    ups.append((owner, _pack(context=s.context[mine], t=_small(t[mine]), **({"c": _small(c[mine]), "twice": s.twice[mine]} if now == 0 else {}))))
+                for lo in range(0, len(ups), 64):
+                    out, k = ups[lo : lo + 64], len(ups[lo : lo + 64])
+                    yield pa.record_batch([pa.array([o for o, _ in out], pa.int32()), pa.array([s.part] * k, pa.int32()), pa.array([d for _, d in out], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.float64())], ["owner", "src", "data", "i", "v"])
+            i = np.flatnonzero(sums)
+            yield pa.record_batch([pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary()), pa.array(i, pa.int32()), pa.array(sums[i])], ["owner", "src", "data", "i", "v"])
+
+        def reply(key: tuple, table: pa.Table) -> pa.Table:
+            src = table["src"].to_pylist()
+            asked = [_unpack(x.as_py()) for x in table["data"]]
+            context, at = np.unique(np.concatenate([x["context"] for x in asked]), return_inverse=True)
+
+            def total(name: str) -> np.ndarray:
+                return np.bincount(at, np.concatenate([x[name] for x in asked]), len(context))
+
+            sums = {name: total(name) for name in asked[0] if name != "context"}
+            ends, out = np.cumsum([len(x["context"]) for x in asked])[:-1], []
+            for mine in np.split(at, ends):
+                got = {"t": _small(sums["t"][mine])}
+                if "c" in sums:
+                    got |= {"c": _small(sums["c"][mine]), "alive": sums["twice"][mine] > 0}
+                out.append(_pack(**got))
+            k = len(src)
+            return pa.table({"part": pa.array(src, pa.int32()), "sweep": pa.array([now] * k, pa.int32()), "owner": pa.array([key[0].as_py()] * k, pa.int32()), "data": pa.array(out, pa.binary())})
+
+        ups = written(self.rows("counts").mapInArrow(run, "owner int, src int, data binary, i int, v double"), "ups")
+        sums = np.zeros(4 * n + 4)
+        for i, v in ups.filter("i is not null").groupBy("i").agg(F.sum("v")).collect():
+            sums[i] = v
+        context_c, context_t, heavy_c, word_c = sums[: 4 * n].reshape(4, n)
+        light_c, light_t, light_words, light_tokens = sums[4 * n :]
+        if history:
+            heavy_t = seat(heavy_c.astype(np.int64), np.full(n, _root_weight(history[-1])), D0, np.random.default_rng([11, now]))
+        else:
+            heavy_t = (heavy_c > 0).astype(np.float64)
+        self.history.append(
+            {"context_c": context_c, "context_t": context_t, "heavy_c": heavy_c, "heavy_t": heavy_t, "word_c": word_c, "root_c": light_c + heavy_c.sum(), "root_t": light_t + heavy_t.sum(), "vocabulary": int(light_words + (word_c > 0).sum()), "tokens": int(light_tokens + word_c.sum())}
+        )
+        got = ups.filter("owner is not null").select("owner", "src", "data").groupBy("owner").applyInArrow(reply, "part int, sweep int, owner int, data binary")
+        got = written(got, "replies")
+        discard(ups)
+        self.replies = got if self.replies is None else self.replies.unionByName(got)
 
 
-def _averaged(s: Seating, history: list[dict]) -> np.ndarray:
-    """log10 of the predictive probability of every pair, averaged over the sampled sweeps."""
-    sum_ = np.zeros(len(s.c))
-    for number in range(len(history) - 1):
-        s.sweep(number, history[number])
-        if number >= BURN_IN:
-            sum_ += s.predictive(history[number + 1])
-    return np.log10(sum_ / (len(history) - 1 - BURN_IN))
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they all need."""
+    top = x.max() if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint64)
 
 
-def _heavy_table(parts: DataFrame, history: list[dict], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities [word, context] and training counts of the heavy words."""
+def _heavy_table(chain: Chain) -> np.ndarray:
+    """log10 probabilities [word, context] of the heavy words after heavy ones: HEAVY^2 numbers at most."""
+    heavy, read, history = chain.heavy, chain.seatings(), chain.history
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = Seating(part, _unpack(data.as_py()))
-                sums = np.zeros((len(s.word), CONTEXTS))
-                for number in range(len(history) - 1):
-                    s.sweep(number, history[number])
-                    if number >= BURN_IN:
-                        t = history[number + 1]
-                        sums += (THETA1 + D1 * t["context_t"])[None, :] * s.parent(t)[:, None] / (THETA1 + t["context_c"])[None, :]
-                        sums[s.pair_word, s.pair_context] += np.maximum(s.c - D1 * s.tables, 0) / (THETA1 + t["context_c"][s.pair_context])
-                logs = np.log10(sums / (len(history) - 1 - BURN_IN)).astype(np.float32)
-                yield pa.record_batch([pa.array(s.word, pa.int64()), pa.array(s.word_c, pa.int64()), pa.array([x.tobytes() for x in logs], pa.binary())], ["w", "c", "row"])
-
-    table, count = np.zeros((len(heavy), CONTEXTS), np.float32), np.zeros(len(heavy), np.int64)
-    for w, c, row in parts.filter("part < 0").select("part", "counts").mapInArrow(run, "w long, c long, row binary").toLocalIterator():
-        table[w], count[w] = np.frombuffer(row, np.float32), c
-    return table, count
-
-
-def _light_sums(parts: DataFrame, history: list[dict], buckets: int) -> DataFrame:
-    """bucket, data: per row its light tokens' number, known ones, sums of log10(c + 1) and of log10 probabilities."""
+        for s, _ in read(batches):
+            own = np.zeros(len(s.c))
+            for number in range(len(history) - 1):
+                s.sweep(number, history[number])
+                if number >= BURN_IN:
+                    s.see(number + 1, history[number + 1])
+                    own += s.own()
+            code = _index(heavy, s.word)[s.pair_word] * len(heavy) + s.pair_context
+            yield pa.record_batch([pa.array([_pack(code=code, own=own)], pa.binary())], ["data"])
+
+    table = np.zeros((len(heavy), len(heavy)))
+    for t in history[1 + BURN_IN :]:
+        parent = (t["heavy_c"] - D0 * t["heavy_t"] + _root_weight(t)) / (THETA0 + t["root_c"])
+        table += parent[:, None] * ((THETA1 + D1 * t["context_t"]) / (THETA1 + t["context_c"]))[None, :]
+    for (data,) in chain.rows("counts").filter("part < 0").mapInArrow(run, "data binary").toLocalIterator():
+        some = _unpack(data)
+        table.reshape(-1)[some["code"]] += some["own"]
+    return np.log10(table / (len(history) - 1 - BURN_IN)).astype(np.float32)
+
+
+def _light_sums(chain: Chain, buckets: int) -> DataFrame:
+    """bucket, data: per row, of its tokens in a part, the known ones and the sums of log10(c + 1) and of log10 probabilities."""
+    read, history = chain.seatings(), chain.history
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, counts, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                s = Seating(part, _unpack(counts.as_py()))
-                logs = _averaged(s, history)
-                c = s.word_c[s.pair_word]
-                known, base = (c > 0).astype(np.float64), np.log10(c + 1.0)
-                t = _unpack(tokens.as_py())
-                keys, at = np.unique(t["keys"], return_inverse=True)
-                row, pair, n = at[t["row"]], t["pair"], len(keys)
-                sums = [np.bincount(row, minlength=n).astype(np.float64), np.bincount(row, known[pair], n), np.bincount(row, base[pair], n), np.bincount(row, logs[pair], n)]
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                some = [(b, _pack(keys=keys[order[x:y]], sums=np.stack([v[order[x:y]] for v in sums]))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.record_batch([pa.array([b for b, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], ["bucket", "data"])
-
-    return parts.filter("part >= 0").select("part", "counts", "tokens").mapInArrow(run, "bucket int, data binary")
+        for s, more in read(batches):
+            sum_ = np.zeros(len(s.c))
+            for number in range(len(history) - 1):
+                s.sweep(number, history[number])
+                if number >= BURN_IN:
+                    sum_ += s.predictive(number + 1, history[number + 1])
+            logs = np.log10(sum_ / (len(history) - 1 - BURN_IN))
+            s.word_c[s.heavy_words] = history[-1]["word_c"][s.heavy_word_at]
+            c = s.word_c[s.pair_word]
+            del s
+            known, base = (c > 0).astype(np.float64), np.log10(c + 1.0)
+            t = _unpack(more.pop("tokens"))
+            keys, at = np.unique(t["keys"], return_inverse=True)
+            row, pair, n = at[t["row"]], t["pair"], len(keys)
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            known, base, logs = (np.bincount(row, x[pair], n)[order] for x in (known, base, logs))
+            out = [(b, _pack(keys=keys[order[x:y]], known=_small(known[x:y]), base=base[x:y], logs=logs[x:y].astype(np.float32))) for b, x, y in _cuts(bucket[order], buckets)]
+            yield from _emit(out, "bucket")
+
+    return chain.rows("counts", "tokens").filter("part >= 0").mapInArrow(run, "bucket int, data binary")
 
 
 def _heavy_sums(rows: DataFrame, heavy: np.ndarray, table: np.ndarray, count: np.ndarray, buckets: int) -> DataFrame:
-    """The same for heavy tokens, where the texts are; also names every row."""
+    """The same for heavy tokens after heavy ones, where the texts are; also names every row."""
     shipped = rows.sparkSession.sparkContext.broadcast((heavy, table, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,23 +475,19 @@ def _heavy_sums(rows: DataFrame, heavy: np.ndarray, table: np.ndarray, count: np
         log_c = np.log10(count + 1.0)
         for rows_ in _batches(batches):
             keys = np.array([_row_key(r[0], r[1]) for r in rows_], np.uint64)
-            sums = np.zeros((4, len(rows_)))
+            known, base, logs = np.zeros((3, len(rows_)))
             for i, (_, _, _, h, context) in enumerate(rows_):
-                if len(heavy):
-                    at = np.searchsorted(heavy, h)
-                    at[at == len(heavy)] = 0
-                    hit = heavy[at] == h
-                    at, context = at[hit], context[hit]
-                    sums[:, i] = len(at), (count[at] > 0).sum(), log_c[at].sum(), table[at, context].sum(dtype=np.float64)
+                at, before = _index(heavy, h), _index(heavy, context)
+                hit = (at >= 0) & (before >= 0)
+                at, before = at[hit], before[hit]
+                known[i], base[i], logs[i] = (count[at] > 0).sum(), log_c[at].sum(), table[at, before].sum(dtype=np.float64)
             ids = np.array([0 if r[0] is None else r[0] for r in rows_], np.int64)
-            null = np.array([r[0] is None for r in rows_], bool)
-            train = np.array([r[2] for r in rows_], bool)
+            null, train, n = np.array([r[0] is None for r in rows_], bool), np.array([r[2] for r in rows_], bool), np.array([len(r[3]) for r in rows_])
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [(b, _pack(keys=keys[o], sums=sums[:, o], ids=ids[o], null=null[o], train=train[o])) for b, o in ((b, order[x:y]) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))) if len(o)]
-            for lo in range(0, len(some), 64):
-                yield pa.record_batch([pa.array([b for b, _ in some[lo : lo + 64]], pa.int32()), pa.array([d for _, d in some[lo : lo + 64]], pa.binary())], ["bucket", "data"])
+            split = ((b, order[x:y]) for b, x, y in _cuts(bucket[order], buckets))
+            out = [(b, _pack(keys=keys[o], known=known[o], base=base[o], logs=logs[o], ids=ids[o], null=null[o], train=train[o], n=n[o])) for b, o in split]
+            yield from _emit(out, "bucket")
 
     return rows.mapInArrow(run, "bucket int, data binary")
 
@@ -361,23 +503,22 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size // PART_BYTES))
     heavy = heavy_words(rows)
-    gathered = written(_gather(_route(rows, heavy, parts)), "parts")
-    history = [_totals(gathered, [])]
-    for _ in range(BURN_IN + SAMPLES):
-        history.append(_totals(gathered, history))
-    table, count = _heavy_table(gathered, history, heavy)
-    buckets = max(1, int(size // PART_BYTES))
-    sums = _light_sums(gathered, history, buckets).unionByName(_heavy_sums(rows, heavy, table, count, buckets))
-    tokens, vocabulary = history[-1]["tokens"], history[-1]["vocabulary"]
+    chain = Chain(_gather(_route(rows, heavy, parts), heavy), heavy, parts)
+    for _ in range(1 + BURN_IN + SAMPLES):
+        chain.sweep()
+    last = chain.history[-1]
+    table = _heavy_table(chain)
+    sums = _light_sums(chain, parts).unionByName(_heavy_sums(rows, heavy, table, last["word_c"], parts))
+    tokens, vocabulary = last["tokens"], last["vocabulary"]
 
     def merge(group: tuple, batch: pa.Table) -> pa.Table:
-        pieces = sorted((_unpack(x.as_py()) for x in batch["data"]), key=lambda p: (p["keys"].tobytes(), p["sums"].tobytes()))
+        pieces = sorted((_unpack(x.as_py()) for x in batch["data"]), key=lambda p: (p["keys"].tobytes(), p["logs"].tobytes()))
         keys, at = np.unique(np.concatenate([p["keys"] for p in pieces]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([p["sums"][i] for p in pieces]), len(keys)) for i in range(4)]
         names = [p for p in pieces if "ids" in p]
         own = np.searchsorted(keys, np.concatenate([p["keys"] for p in names]))
-        times = np.bincount(own, minlength=len(keys))
-        n, known, base, logs = (np.round(s[own] / times[own]) if i < 2 else s[own] / times[own] for i, s in enumerate(sums))
+        times = np.bincount(own, minlength=len(keys))[own]
+        known, base, logs = (np.bincount(at, np.concatenate([p[x] for p in pieces]), len(keys))[own] / times for x in ("known", "base", "logs"))
+        known, n = np.round(known), np.concatenate([p["n"] for p in names])
         ids = pa.array(np.concatenate([p["ids"] for p in names]), mask=np.concatenate([p["null"] for p in names]))
         base = base - n * np.log10(tokens + vocabulary + 1.0)
         return pa.table(

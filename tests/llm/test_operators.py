@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import xxhash
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -84,23 +85,58 @@ def test_language_model_counts_and_base(docs, texts):
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     pair_word, pair_context = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(6), indexing="ij"))
-    counts = {"word": np.arange(30), "pair_word": pair_word, "pair_context": pair_context, "c": rng.integers(0, 300, 180)}
+    heavy = np.arange(100, 106, dtype=np.uint64)
+    counts = {"word": np.arange(30, dtype=np.uint64), "context": heavy, "pair_word": pair_word, "pair_context": pair_context, "c": rng.integers(0, 300, 180)}
 
     def totals(s):
-        context_c = np.bincount(s.pair_context, s.c, pylm.CONTEXTS)
-        return {"context_c": context_c, "context_t": np.bincount(s.pair_context, s.tables, pylm.CONTEXTS), "root_c": s.root_c.sum(), "root_t": s.root_t.sum(), "vocabulary": 30}
+        context_c, context_t = (np.bincount(s.pair_context, x, 6) for x in (s.c, s.tables))
+        return {"context_c": context_c, "context_t": context_t, "heavy_c": np.zeros(6), "heavy_t": np.zeros(6), "root_c": s.root_c.sum(), "root_t": s.root_t.sum(), "vocabulary": 30}
 
-    s = pylm.Seating(0, counts)
+    s = pylm.Seating(0, counts, heavy)
     for number in range(3):
         s.sweep(number, totals(s))
     t = totals(s)
-    p = s.predictive(t)
+    p = s.predictive(3, t)
     unknown = (pylm.THETA0 + pylm.D0 * t["root_t"]) / 31 / (pylm.THETA0 + t["root_c"])
     for c in range(6):
         rest = (pylm.THETA1 + pylm.D1 * t["context_t"][c]) * unknown / (pylm.THETA1 + t["context_c"][c])
         assert math.isclose(p[s.pair_context == c].sum() + rest, 1, rel_tol=1e-9)
 
 
+def test_totals_of_contexts_over_parts(spark, docs, texts):
+    """Every part learns how often each of its contexts occurs anywhere, and how many tables it has after every sweep."""
+    heavy = np.unique(np.array([pylm.BEGIN, pylm.END, *(xxhash.xxh3_64_intdigest(w) for w in words(texts[0])[:3])], np.uint64))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(True).alias("train"))
+    chain = pylm.Chain(pylm._gather(pylm._route(rows, heavy, 3), heavy), heavy, 3)
+    true = Counter()
+    for text in [*texts, "no key here at all"]:
+        h, context = pylm._tokens(text)
+        true.update(zip(h.tolist(), context.tolist(), strict=True))
+    context_c = Counter()
+    for (_, context), c in true.items():
+        context_c[context] += c
+    for done in range(3):
+        chain.sweep()
+        seated, tables = [], Counter()
+        for r in chain.rows("counts").collect():
+            s = pylm.Seating(r.part, pylm._unpack(r.counts), heavy, [tuple(x) for x in r.replies or ()])
+            for number in range(done):
+                s.sweep(number, chain.history[number])
+            for context, t in zip(s.context[s.pair_context].tolist(), s.tables.tolist(), strict=True):
+                tables[context] += t
+            seated.append(s)
+        pairs = Counter()
+        for s in seated:
+            s.see(done, chain.history[done])
+            used = np.unique(s.pair_context)
+            assert [context_c[c] for c in s.context[used].tolist()] == s.context_c[used].tolist()
+            assert [tables[c] for c in s.context[used].tolist()] == s.context_t[used].tolist()
+            pairs.update(dict(zip(zip(s.word[s.pair_word].tolist(), s.context[s.pair_context].tolist(), strict=True), s.c.tolist(), strict=True)))
+        assert pairs == true
+        assert chain.history[done]["root_c"] == sum(tables.values())
+        assert chain.history[done]["vocabulary"] == len({w for w, _ in true})
+
+
 def test_seating_matches_one_by_one():
     rng, d, a, c = np.random.default_rng(3), 0.5, 2.0, 400
     fast = pylm.seat(np.full(3000, c), np.full(3000, a), d, rng)
