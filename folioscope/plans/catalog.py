@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import profiles
-from folioscope.operators import canonical
+from folioscope.operators import canonical, documents
 from folioscope.operators import tokens as tk
 from folioscope.plans.dialect import DUCK, SPARK, Dialect
 from folioscope.plans import queries_corpus, queries_relational, queries_structure, queries_style, queries_text
@@ -119,17 +119,36 @@ _NEEDS = {"ptok": ["para"], "sent": ["para"], "blk": ["para"], "ctok": ["para",
 def _spark_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
     sql = build(SPARK)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+        """given: DataFrames that stand for tables."""
+
+        def read(name: str) -> DataFrame:
+            return given[name] if name in given else _read(spark, sf_dir, name)
+
         for name in TABLES:
             if SPARK.t(name) in sql:
-                _read(spark, sf_dir, name).createOrReplaceTempView(SPARK.t(name))
+                read(name).createOrReplaceTempView(SPARK.t(name))
         for base in bases:
-            BASES[base](lambda name: _read(spark, sf_dir, name)).createOrReplaceTempView(SPARK.t(base))
+            BASES[base](read).createOrReplaceTempView(SPARK.t(base))
         return spark.sql(sql)
 
     return run
 
 
+def by_document(query: Callable, within: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, whose results are each of one doc_id: by within(docs) where one row has that doc_id, by its SQL where several have."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _read(spark, sf_dir, "documents")
+        repeated = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again"))
+        if repeated.isEmpty():
+            return within(docs)
+        several = F.col("doc_id").eqNullSafe(F.col("again"))
+        return within(docs.join(repeated, several, "left_anti")).unionByName(query(spark, sf_dir, documents=docs.join(repeated, several, "left_semi")))
+
+    return run
+
+
 def _duck_query(bases: tuple[str, ...], build: Callable[[Dialect], str]) -> str:
     ctes, order = _ctes(), list(dict.fromkeys(x for b in bases for x in [*_NEEDS.get(b, []), b]))
     sql = build(DUCK).strip()
@@ -147,3 +166,6 @@ for _module in (queries_corpus, queries_relational, queries_structure, queries_s
         ORACLE_SQL[_name] = _duck_query(_bases, _build)
     QUERIES |= getattr(_module, "QUERIES", {})
     ORACLE_SQL |= getattr(_module, "ORACLE_SQL", {})
+
+#: Queries that Spark answers in another way than by that SQL.
+QUERIES["h8_repeated_phrases"] = by_document(QUERIES["h8_repeated_phrases"], lambda docs: documents.repeated_phrases(docs, _STOP, range(5, 10), 3, 3))
