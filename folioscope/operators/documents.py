@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from folioscope.functions import profiles
 from folioscope.operators import canonical
 from folioscope.plans.dialect import SPARK
 
+#: Buckets of hash_embedding.
+BUCKETS = 512
 #: Bytes of words that become Python objects at once.
 SLICE_BYTES = 1 << 20
 
@@ -79,3 +83,50 @@ def repeated_phrases(docs: DataFrame, stop: list[str], sizes: range, content: in
         return _with_ids(part, at, n=pa.array(ns, pa.int32()), phrase=pa.array(phrases, pa.string()), passages=pa.array(found, pa.int64()))
 
     return _by_slices(rows, run, "n int, phrase string, passages long")
+
+
+class _Grams(dict):
+    """Gram: bucket. New words are mostly of old grams; a worker keeps so many of them."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        got = self[gram] = (int.from_bytes(md5(gram.encode()).digest()[:8], "big") >> 4) % BUCKETS
+        return got
+
+
+class _Buckets(dict):
+    """Word: buckets of its grams. A worker keeps those of so many words."""
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= 100_000:
+            self.clear()
+        x = f" {word} "
+        grams = [x[i : i + n] for n in (3, 4, 5) for i in range(len(x) - n + 1)]
+        got = self[word] = np.fromiter(map(_grams.__getitem__, grams), np.int16, len(grams))
+        return got
+
+
+_grams = _Grams()
+_buckets = _Buckets()
+
+
+def hash_embedding(docs: DataFrame) -> DataFrame:
+    """doc_id, bucket, x: counts of the 3- to 5-grams of spaced words in 512 buckets of their md5, as a unit vector."""
+    rows = docs.select("doc_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(profiles.WORD), 0), " ").alias("words")).filter("words <> ''")
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        at, buckets, xs = [], [np.empty(0, np.int64)], [np.empty(0)]
+        for i, words in enumerate(part.column(1).to_pylist()):
+            times = Counter(words.split(" "))
+            grams = [_buckets[w] for w in times]
+            counts = np.repeat(np.fromiter(times.values(), np.float64, len(times)), [len(x) for x in grams])
+            c = np.bincount(np.concatenate(grams), counts, BUCKETS)
+            some = np.flatnonzero(c)
+            at.append(np.full(len(some), i))
+            buckets.append(some)
+            xs.append(c[some] / np.sqrt((c * c).sum()))
+        at = np.concatenate(at) if at else np.empty(0, np.int64)
+        return _with_ids(part, at, bucket=pa.array(np.concatenate(buckets), pa.int64()), x=pa.array(np.concatenate(xs), pa.float64()))
+
+    return _by_slices(rows, run, "bucket long, x double").select("doc_id", "bucket", F.round("x", 6).alias("x"))
