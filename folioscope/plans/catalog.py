@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import profiles
-from folioscope.operators import canonical, documents
+from folioscope.operators import canonical, documents, neighbours
 from folioscope.operators import tokens as tk
 from folioscope.plans.dialect import DUCK, SPARK, Dialect
 from folioscope.plans import queries_corpus, queries_relational, queries_structure, queries_style, queries_text
@@ -170,3 +170,19 @@ for _module in (queries_corpus, queries_relational, queries_structure, queries_s
 #: Queries that Spark answers in another way than by that SQL.
 QUERIES["h8_repeated_phrases"] = by_document(QUERIES["h8_repeated_phrases"], lambda docs: documents.repeated_phrases(docs, _STOP, range(5, 10), 3, 3))
 QUERIES["i1_hash_embedding"] = by_document(QUERIES["i1_hash_embedding"], documents.hash_embedding)
+
+
+def _cosine_neighbours(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """Exact tiles; by the SQL, pair by pair, where a vector is null, empty, or holds null components, or a length of zero."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = _read(spark, sf_dir, "embeddings")
+        odd = F.col("embedding").isNull() | F.exists("embedding", lambda v: v.isNull()) | ~F.exists("embedding", lambda v: v != 0) | F.exists("embedding", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+        if not vectors.filter(odd).isEmpty() or vectors.select(F.size("embedding").alias("n")).distinct().count() > 1:
+            return query(spark, sf_dir)
+        return neighbours.nearest_of_label(vectors)
+
+    return run
+
+
+QUERIES["i_cosine_neighbours"] = _cosine_neighbours(QUERIES["i_cosine_neighbours"])
