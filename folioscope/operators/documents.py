@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import profiles
 from folioscope.operators import canonical
+from folioscope.operators.tokens import K
 from folioscope.plans.dialect import SPARK
 
 #: Buckets of hash_embedding.
@@ -130,3 +131,38 @@ def hash_embedding(docs: DataFrame) -> DataFrame:
         return _with_ids(part, at, bucket=pa.array(np.concatenate(buckets), pa.int64()), x=pa.array(np.concatenate(xs), pa.float64()))
 
     return _by_slices(rows, run, "bucket long, x double").select("doc_id", "bucket", F.round("x", 6).alias("x"))
+
+
+def shingle_summary(docs: DataFrame, stop: list[str]) -> DataFrame:
+    """doc_id, n, n_distinct, least, most of the hashes of the shingles of compared words (see tokens.shingles)."""
+    # a line is its mark, whether it is left out whatever its section (x), and its words
+    line = F.expr(f"transform(filter(transform({SPARK.split('text', chr(10))}, l -> trim(l)), l -> l <> ''), l -> {canonical.marked_line(SPARK, 'l')})")
+    rows = docs.select("doc_id", line.alias("lines")).filter("lines is not null")
+    stop_set = frozenset(stop)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        at, out = [], []
+        for i, lines in enumerate(part.column(1).to_pylist()):
+            words, references = [], False
+            for x in lines:
+                if x[0] != " ":
+                    references = x[0] == "r"
+                if not references and x[1] == " " and len(x) > 2:
+                    words += x[3:].split(" ")
+            if len(words) < K:
+                continue
+            good = np.cumsum([0, *(w not in stop_set and len(w) > 1 for w in words)])
+            packed = [w.encode() for w in words]
+            ends = np.cumsum([len(w) + 1 for w in packed])
+            text, starts = b" ".join(packed), ends - [len(w) + 1 for w in packed]
+            some = np.flatnonzero(good[K:] - good[:-K] >= 2)
+            if not len(some):
+                continue
+            digests = b"".join([md5(text[a:b]).digest()[:8] for a, b in zip(starts[some].tolist(), (ends[some + K - 1] - 1).tolist(), strict=True)])
+            h = (np.frombuffer(digests, ">u8") >> np.uint64(4)).astype(np.int64)
+            at.append(i)
+            out.append((len(h), len(np.unique(h)), int(h.min()), int(h.max())))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return _with_ids(part, at, **{name: pa.array(x, pa.int64()) for name, x in zip(("n", "n_distinct", "least", "most"), columns, strict=True)})
+
+    return _by_slices(rows, run, "n long, n_distinct long, least long, most long")

@@ -169,6 +169,7 @@ for _module in (queries_corpus, queries_relational, queries_structure, queries_s
 
 #: Queries that Spark answers in another way than by that SQL.
 QUERIES["h8_repeated_phrases"] = by_document(QUERIES["h8_repeated_phrases"], lambda docs: documents.repeated_phrases(docs, _STOP, range(5, 10), 3, 3))
+QUERIES["h1_shingles"] = by_document(QUERIES["h1_shingles"], lambda docs: documents.shingle_summary(docs, _STOP))
 QUERIES["i1_hash_embedding"] = by_document(QUERIES["i1_hash_embedding"], documents.hash_embedding)
 
 

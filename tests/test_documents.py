@@ -35,7 +35,7 @@ def same_as_sql(spark, path, name):
     return df, theirs
 
 
-WITHIN = ["h8_repeated_phrases", "i1_hash_embedding"]
+WITHIN = ["h1_shingles", "h8_repeated_phrases", "i1_hash_embedding"]
 
 
 @pytest.mark.parametrize("name", WITHIN)
