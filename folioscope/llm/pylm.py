@@ -12,46 +12,79 @@ so any task can repeat them. Predictive probabilities are averaged over the samp
 Heavy words are those of more than 1 / HEAVY of all tokens, HEAVY of them at most, and the marks of a text's begin and
 end. A token goes to the part of its word's hash, or, if the word is heavy, to that of its context; tokens with
 both heavy are counted before the shuffle and scored where the texts are, from a table of HEAVY^2 numbers at most.
+Tokens travel as numbers within their batch of rows (a row's place, a context's place among the COMMON words), so that
+what a token takes does not grow with the number of parts. Sums come back by batch and are named there by row.
 So what a light word needs of the root is in its part, and what heavy words and heavy contexts need in
 total comes through the driver, a few numbers each. Totals of light contexts, any number of them, are
 exchanged between parts by hash: every part sends its tables per context to the context's part and gets the sums
 back, after the first sweep only for contexts with a word seen twice, since no other can change. Parts
-are bucketed, so that only these messages are shuffled. Only sums per text come back in the end.
+and the messages to them are bucketed, so that a message is shuffled once on either way. With them every part gets its own
+seats of the sweeps before, so that no sweep is done again. Only sums per text come back in the end.
 """
 
 from __future__ import annotations
 
 import atexit
-import pickle
+import struct
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import checkpoint, discard, remove, shared_dir, slices, words, written
 
 HEAVY = 2000
 HEAVY_GROUP = 16
+#: Words whose contexts are sent by number, of those that some batch has COMMON_TIMES times; a matter of coding alone.
+COMMON, COMMON_TIMES = 60_000, 8
+#: Steps in which sums of base logarithms and of log10 probabilities are sent back.
+BASE_STEP, LOG_STEP = 2.0**-30, 2.0**-20
 BURN_IN, SAMPLES = 1, 3
 D0, THETA0, D1, THETA1 = 0.5, 1.0, 0.75, 1.0
 #: Text bytes of one part, and tokens that a task sorts at once.
 PART_BYTES, BATCH_TOKENS = 10 << 20, 600_000
+NOTHING = np.zeros(0, np.uint64)
 #: The end of a text and the context of its first token; no word holds a space.
 END, BEGIN = xxhash.xxh3_64_intdigest(b" "), xxhash.xxh3_64_intdigest(b"  ")
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays as bytes: whole numbers as differences if they do not fall, in as few bytes as they need, the like bytes together."""
+    head, body = [struct.pack("<B", len(arrays))], []
+    for name, x in arrays.items():
+        kind, y, rising = x.dtype.str.encode(), x, 0
+        if x.dtype.kind in "iu" and len(x) and (x.dtype.kind == "u" or x.min() >= 0):
+            if rising := int(bool((x[1:] >= x[:-1]).all())):
+                y = np.diff(x, prepend=x.dtype.type(0))
+            y = y.astype(np.min_scalar_type(y.max()), copy=False)
+        stored = y.dtype.str.encode()
+        head.append(struct.pack("<B3sB3sI", len(name), kind, rising, stored, len(x)) + name.encode())
+        body.append(np.ascontiguousarray(y).view(np.uint8).reshape(len(y), -1).T.tobytes() if len(y) else b"")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, fields, out = 1, [], {}
+    for _ in range(raw[0]):
+        long_, kind, rising, stored, n = struct.unpack_from("<B3sB3sI", raw, at)
+        at += struct.calcsize("<B3sB3sI")
+        fields.append((raw[at : at + long_].decode(), np.dtype(kind.decode()), rising, np.dtype(stored.decode()), n))
+        at += long_
+    for name, kind, rising, stored, n in fields:
+        size = n * stored.itemsize
+        y = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(stored.itemsize, n).T).view(stored).reshape(n)
+        out[name] = np.cumsum(y, dtype=kind) if rising else y.astype(kind)
+        at += size
+    return out
 
 
 class _Hashes(dict):
@@ -97,8 +130,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield out
 
 
-def heavy_words(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of all tokens that are more than 1 / HEAVY of the training tokens, and of BEGIN and END.
+def frequent_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all tokens that are more than 1 / HEAVY of the training tokens, and of BEGIN and END; hashes of common tokens, the most frequent first.
 
     A token that frequent is so in one batch at least; each batch names those, and their sums are kept if large.
     """
@@ -119,14 +152,16 @@ def heavy_words(rows: DataFrame) -> np.ndarray:
             yield emit(counts, total)
 
     def emit(counts: Counter, total: int) -> pa.RecordBatch:
-        much = [(xxhash.xxh3_64_intdigest(w), c) for w, c in counts.items() if c * HEAVY >= total]
+        much = [(xxhash.xxh3_64_intdigest(w), c) for w, c in counts.items() if c >= COMMON_TIMES or c * HEAVY >= total]
         much.append((-1, total))
         return pa.record_batch([pa.array([np.uint64(w).astype(np.int64) if w >= 0 else None for w, _ in much], pa.int64()), pa.array([c for _, c in much], pa.int64())], ["w", "c"])
 
     sums = checkpoint(rows.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     total = sums.filter("w is null").agg(F.sum("c")).first()[0] or 0
     got = sums.filter(F.col("w").isNotNull() & (F.col("c") * HEAVY >= total)).select("w").collect()
-    return np.unique(np.append(np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([BEGIN, END], np.uint64)))
+    common = sums.filter("w is not null").orderBy(F.desc("c"), "w").limit(COMMON).select("w").collect()
+    heavy, common = (np.array([r[0] for r in x], np.int64).view(np.uint64) for x in (got, common))
+    return np.unique(np.append(heavy, np.array([BEGIN, END], np.uint64))), common
 
 
 def _index(heavy: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -147,25 +182,34 @@ def _cuts(groups: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     return ((g, int(a), int(b)) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a)
 
 
-def _emit(out: list[tuple[int, bytes]], name: str) -> Iterator[pa.RecordBatch]:
+def _emit(out: list[tuple[int, bytes]], name: str, kind: pa.DataType = pa.int32()) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(out), 64):
         some = out[lo : lo + 64]
-        yield pa.record_batch([pa.array([p for p, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], [name, "data"])
+        yield pa.record_batch([pa.array([p for p, _ in some], kind), pa.array([d for _, d in some], pa.binary())], [name, "data"])
 
 
-def _route(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
-    """part, data: training counts of heavy words after heavy ones (part < 0), and all other tokens with their rows."""
+def _route(rows: DataFrame, heavy: np.ndarray, parts: int, common: np.ndarray = NOTHING) -> DataFrame:
+    """part, data: training counts of heavy words after heavy ones (part < 0), and all other tokens with their rows.
+
+    The rows of a batch are numbered, those of training first; one part, the batch's home, gets their names. Contexts are numbered, too:
+    the common words first, then the piece's other contexts.
+    """
+    order_ = np.argsort(common)
+    sorted_ = common[order_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_ in _batches(batches):
+        task = TaskContext.get().partitionId()
+        for number, rows_ in enumerate(_batches(batches)):
+            rows_.sort(key=lambda r: not r[2])
+            keys = np.array([_row_key(r[0], r[1]) for r in rows_], np.uint64)
+            batch, first = xxhash.xxh3_64_intdigest(struct.pack("<qq", task, number) + keys.tobytes()), sum(r[2] for r in rows_)
             h = np.concatenate([r[3] for r in rows_])
             context = np.concatenate([r[4] for r in rows_])
             row = np.repeat(np.arange(len(rows_), dtype=np.uint32), [len(r[3]) for r in rows_])
-            train = np.array([r[2] for r in rows_], bool)
-            keys = np.array([_row_key(r[0], r[1]) for r in rows_], np.uint64)
+            del rows_
             word_at, context_at = _index(heavy, h), _index(heavy, context)
             both = (word_at >= 0) & (context_at >= 0)
-            seen = both & train[row]
+            seen = both & (row < first)
             out: list[tuple[int, bytes]] = []
             code, count = np.unique(word_at[seen] * len(heavy) + context_at[seen], return_counts=True)
             for g, a, b in _cuts(code // (HEAVY_GROUP * len(heavy)), -(-len(heavy) // HEAVY_GROUP)):
@@ -175,18 +219,27 @@ def _route(rows: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
             h, context, row = h[rest], context[rest], row[rest]
             order = np.lexsort((h, part))
             h, context, row, part = h[order], context[order], row[order], part[order]
+            place = _index(sorted_, context) if len(common) else np.full(len(context), -1)
+            place = np.where(place >= 0, order_[place], -1) if len(common) else place
+            about, home = {"batch": np.array([batch], np.uint64), "first": np.array([first])}, batch % parts
+            sent = False
             for p, a, b in _cuts(part, parts):
                 word, times = np.unique(h[a:b], return_counts=True)
-                before, context_ = np.unique(context[a:b], return_inverse=True)
-                mine, short = np.unique(row[a:b], return_inverse=True)
-                short = [x.astype(np.uint16 if len(of) < 1 << 16 else np.uint32) for x, of in ((context_, before), (short, mine))]
-                out.append((p, _pack(word=word, times=times.astype(np.uint32), before=before, context=short[0], row=short[1], keys=keys[mine], train=train[mine])))
+                code = place[a:b]
+                rare = code < 0
+                before, code[rare] = np.unique(context[a:b][rare], return_inverse=True)
+                code[rare] += len(common)
+                sent |= p == home
+                out.append((p, _pack(**about, word=word, times=times, before=before, code=code, row=row[a:b], **({"keys": keys} if p == home else {}))))
+            if not sent:
+                none = np.zeros(0, np.int64)
+                out.append((home, _pack(**about, word=NOTHING, times=none, before=NOTHING, code=none, row=none.astype(np.uint32), keys=keys)))
             yield from _emit(out, "part")
 
     return rows.mapInArrow(run, "part int, data binary")
 
 
-def _gather(routed: DataFrame, heavy: np.ndarray) -> DataFrame:
+def _gather(routed: DataFrame, heavy: np.ndarray, common: np.ndarray = NOTHING) -> DataFrame:
     """part, counts (of (word, context) pairs), tokens (pair and row of every token): one row a part."""
 
     def pairs(word: np.ndarray, word_at: np.ndarray, context: np.ndarray, context_at: np.ndarray) -> tuple:
@@ -203,17 +256,37 @@ def _gather(routed: DataFrame, heavy: np.ndarray) -> DataFrame:
             word, word_at = np.unique(code // len(heavy), return_inverse=True)
             _, counts = pairs(heavy[word], word_at, heavy, code % len(heavy))
             return pa.table({"part": pa.array([part], pa.int32()), "counts": [_pack(**counts, c=c)], "tokens": pa.array([None], pa.binary())})
-        pieces.sort(key=lambda p: p["keys"].tobytes())
-        start = np.cumsum([0, *(len(p["keys"]) for p in pieces[:-1])])
-        row = np.concatenate([p["row"] + np.uint32(s) for p, s in zip(pieces, start, strict=True)])
-        keys, train = np.concatenate([p["keys"] for p in pieces]), np.concatenate([p["train"] for p in pieces])
-        word, context = (np.unique(np.concatenate([p[name] for p in pieces])) for name in ("word", "before"))
-        word_at = np.concatenate([np.repeat(np.searchsorted(word, p["word"]), p["times"]) for p in pieces])
-        context_at = np.concatenate([np.searchsorted(context, p["before"])[p["context"]] for p in pieces])
+        pieces.sort(key=lambda p: p["batch"][0])
+        batch, first = (np.concatenate([p[x] for p in pieces]) for x in ("batch", "first"))
+        names = [p["keys"] if "keys" in p else NOTHING for p in pieces]
+        n = np.array([len(p["row"]) for p in pieces])
+        ends = np.cumsum(n)
+        start = np.cumsum([0, *(len(p["before"]) for p in pieces[:-1])])
+        row = np.concatenate([p["row"] for p in pieces])
+        code = np.concatenate([np.where(p["code"] >= len(common), p["code"] + s, p["code"]) for p, s in zip(pieces, start, strict=True)])
+        words_, times, before = (np.concatenate([p[x] for p in pieces]) for x in ("word", "times", "before"))
         del pieces
+        used = np.zeros(len(common), bool)
+        used[code[code < len(common)]] = True
+        word, context = np.unique(words_), np.unique(np.concatenate([common[used], before]))
+        word_at = np.repeat(np.searchsorted(word, words_), times)
+        context_at = np.searchsorted(context, np.concatenate([common, before]))[code]
+        del words_, times, before, code
         pair, counts = pairs(word, word_at, context, context_at)
-        c = np.bincount(pair, train[row], len(counts["pair_word"])).astype(np.int64)
-        tokens = _pack(pair=pair.astype(np.uint32), row=row, keys=keys)
+        del word_at, context_at
+        c = np.bincount(pair, row < np.repeat(first, n), len(counts["pair_word"])).astype(np.int64)
+        pair, of, place, k = pair.astype(np.uint32), row, [], 0
+        for i, b in enumerate(ends):
+            a = b - n[i]
+            order = np.argsort(pair[a:b])
+            pair[a:b] = pair[a:b][order]
+            mine, short = np.unique(row[a:b][order], return_inverse=True)
+            of[a:b] = short + k
+            place.append(mine)
+            k += len(mine)
+        tokens = _pack(
+            batch=batch, rows=np.array([len(x) for x in place]), place=np.concatenate(place), pair=np.diff(pair, prepend=np.uint32(0)), row=of, names=np.array([len(x) for x in names]), keys=np.concatenate(names)
+        )
         return pa.table({"part": pa.array([part], pa.int32()), "counts": [_pack(**counts, c=c)], "tokens": [tokens]})
 
     return routed.groupBy("part").applyInArrow(run, "part int, counts binary, tokens binary")
@@ -246,7 +319,7 @@ class Seating:
     """The chain of sweeps over one part's counts, given the totals before each sweep.
 
     totals: of heavy words and contexts, and of the root (see _totals). replies: (sweep, owner, data) messages with the
-    totals of the light contexts, in the order of their hashes.
+    totals of the light contexts, in the order of their hashes, and (owner < 0) the seats after a sweep done before.
     """
 
     def __init__(self, part: int, counts: dict[str, np.ndarray], heavy: np.ndarray, replies: list[tuple[int, int, bytes]] = ()):
@@ -260,8 +333,12 @@ class Seating:
         self.twice = np.bincount(self.pair_context, self.c > 1, len(self.context)) > 0
         self.alive, self.context_c, self.context_t = np.ones(len(self.light), bool), np.zeros(len(self.context)), np.zeros(len(self.context))
         self.replies: dict[int, list[dict]] = {}
-        for sweep, _, data in sorted(replies, key=lambda r: r[:2]):
-            self.replies.setdefault(sweep, []).append(_unpack(data))
+        self.seats: dict[int, bytes] = {}
+        for sweep, owner, data in sorted(replies, key=lambda r: r[:2]):
+            if owner < 0:
+                self.seats[sweep] = data
+            else:
+                self.replies.setdefault(sweep, []).append(_unpack(data))
         self._root(None, 0)
 
     def _root(self, totals: dict | None, sweep: int) -> None:
@@ -291,8 +368,21 @@ class Seating:
         c[self.heavy_words], t[self.heavy_words] = totals["heavy_c"][self.heavy_word_at], totals["heavy_t"][self.heavy_word_at]
         return (c - D0 * t + _root_weight(totals)) / (THETA0 + totals["root_c"])
 
+    def seated(self) -> bytes:
+        """The seats after a sweep, where there was a choice."""
+        return _pack(tables=_small(self.tables[self.c > 1]), root=_small(self.root_t[self.root_c > 1]))
+
     def sweep(self, number: int, totals: dict) -> None:
         self.see(number, totals)
+        if number in self.seats:
+            seats = _unpack(self.seats[number])
+            self.tables = (self.c > 0).astype(np.float64)
+            self.tables[self.c > 1] = seats["tables"]
+            self.root_c = np.bincount(self.pair_word, self.tables, len(self.word))
+            self.root_t = (self.root_c > 0).astype(np.float64)
+            self.root_t[self.heavy_words] = 0
+            self.root_t[self.root_c > 1] = seats["root"]
+            return
         a = (THETA1 + D1 * self.context_t[self.pair_context]) * self.parent(totals)[self.pair_word]
         self.tables = seat(self.c, a, D1, np.random.default_rng([3, number, self.part & 0xFFFFFFFF]))
         self._root(totals, number)
@@ -308,24 +398,40 @@ class Seating:
         return self.own() + (THETA1 + D1 * self.context_t[context]) / (THETA1 + self.context_c[context]) * self.parent(totals)[self.pair_word]
 
 
+@contextmanager
+def _one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """A bucket may hold several parts; sent to Python one by one, they do not stand in memory together."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Chain:
     """The parts, bucketed by part, with the totals after each sweep and the replies to each part."""
 
     def __init__(self, gathered: DataFrame, heavy: np.ndarray, parts: int):
-        spark = gathered.sparkSession
-        name = f"pylm_{uuid.uuid4().hex}"
-        self.heavy, self.parts, self.path = heavy, parts, f"{shared_dir(spark)}/{name}"
-        gathered.write.bucketBy(parts, "part").option("path", self.path).saveAsTable(name)
-        atexit.register(remove, spark, self.path)
-        self.table, self.history, self.replies = spark.table(name), [], None
+        self.heavy, self.parts = heavy, parts
+        self.table, self.history, self.replies = self.bucketed(gathered, "pylm"), [], None
+
+    def bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        """df, dealt by part, in buckets of parts; the shuffle files of its plan may go, as with written()."""
+        spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name}"
+        df.write.bucketBy(self.parts, "part").option("path", path).saveAsTable(name)
+        atexit.register(remove, spark, path)
+        spark.sparkContext._jvm.System.gc()
+        return spark.table(name)
 
     def rows(self, *columns: str) -> DataFrame:
-        """part, columns and replies, one row a part; the messages come to the buckets."""
+        """part, columns and replies, one row a part; both are in buckets already."""
         own = self.table.select("part", *columns)
         if self.replies is None:
             return own.withColumn("replies", F.lit(None).cast("array<struct<sweep:int,owner:int,data:binary>>"))
-        replies = self.replies.groupBy("part").agg(F.collect_list(F.struct("sweep", "owner", "data")).alias("replies"))
-        return own.join(replies, "part", "left")
+        return own.join(self.replies.hint("merge"), "part", "left")
 
     def seatings(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
         """Reads batches of rows(): (seating, further columns) one part at a time."""
@@ -334,9 +440,13 @@ class Chain:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
                 for at in range(batch.num_rows):
-                    row = batch.slice(at, 1).to_pylist()[0]
-                    replies = [(r["sweep"], r["owner"], r["data"]) for r in row.pop("replies") or ()]
-                    yield Seating(row.pop("part"), _unpack(row.pop("counts")), heavy, replies), row
+                    row = {name: column[at] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                    some = row.pop("replies").values
+                    replies = [] if some is None else [(i, o, d.as_buffer()) for i, o, d in zip(some.field(0).to_pylist(), some.field(1).to_pylist(), some.field(2), strict=True)]
+                    del some
+                    yield Seating(row.pop("part").as_py(), _unpack(row.pop("counts").as_buffer()), heavy, replies), row
+                    del row, replies
+                pa.default_memory_pool().release_unused()
 
         return read
 
@@ -350,6 +460,8 @@ class Chain:
             for s, _ in read(batches):
                 for number, totals in enumerate(history):
                     s.sweep(number, totals)
+                if now:
+                    yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([s.part], pa.int32()), pa.array([s.seated()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64())], ["owner", "src", "data", "i", "v"])
                 t = np.bincount(s.pair_context, s.tables, len(s.context))
                 c = np.bincount(s.pair_context, s.c, len(s.context))
                 np.add.at(sums, s.heavy_context_at, c[s.heavy_contexts])
@@ -388,7 +500,8 @@ class Chain:
             k = len(src)
             return pa.table({"part": pa.array(src, pa.int32()), "sweep": pa.array([now] * k, pa.int32()), "owner": pa.array([key[0].as_py()] * k, pa.int32()), "data": pa.array(out, pa.binary())})
 
-        ups = written(self.rows("counts").mapInArrow(run, "owner int, src int, data binary, i int, v double"), "ups")
+        with _one_row_batches(self.table.sparkSession):
+            ups = written(self.rows("counts").mapInArrow(run, "owner int, src int, data binary, i int, v double"), "ups")
         sums = np.zeros(4 * n + 4)
         for i, v in ups.filter("i is not null").groupBy("i").agg(F.sum("v")).collect():
             sums[i] = v
@@ -401,10 +514,18 @@ class Chain:
         self.history.append(
             {"context_c": context_c, "context_t": context_t, "heavy_c": heavy_c, "heavy_t": heavy_t, "word_c": word_c, "root_c": light_c + heavy_c.sum(), "root_t": light_t + heavy_t.sum(), "vocabulary": int(light_words + (word_c > 0).sum()), "tokens": int(light_tokens + word_c.sum())}
         )
-        got = ups.filter("owner is not null").select("owner", "src", "data").groupBy("owner").applyInArrow(reply, "part int, sweep int, owner int, data binary")
-        got = written(got, "replies")
+        got = ups.filter("owner >= 0").select("owner", "src", "data").groupBy("owner").applyInArrow(reply, "part int, sweep int, owner int, data binary")
+        seats = ups.filter("owner < 0").select(F.col("src").alias("part"), F.lit(now - 1).alias("sweep"), "owner", "data")
+        new = got.union(seats).groupBy("part").agg(F.collect_list(F.struct("sweep", "owner", "data")).alias("new"))
+        old = self.replies
+        if old is None:
+            self.replies = self.bucketed(new.withColumnRenamed("new", "replies"), "replies")
+        else:
+            none = F.array().cast("array<struct<sweep:int,owner:int,data:binary>>")
+            both = old.hint("merge").join(new, "part", "full").select("part", F.concat(F.coalesce("replies", none), F.coalesce("new", none)).alias("replies"))
+            self.replies = self.bucketed(both, "replies")
+            discard(old)
         discard(ups)
-        self.replies = got if self.replies is None else self.replies.unionByName(got)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -432,19 +553,21 @@ def _heavy_table(chain: Chain) -> np.ndarray:
     for t in history[1 + BURN_IN :]:
         parent = (t["heavy_c"] - D0 * t["heavy_t"] + _root_weight(t)) / (THETA0 + t["root_c"])
         table += parent[:, None] * ((THETA1 + D1 * t["context_t"]) / (THETA1 + t["context_c"]))[None, :]
-    for (data,) in chain.rows("counts").filter("part < 0").mapInArrow(run, "data binary").toLocalIterator():
+    with _one_row_batches(chain.table.sparkSession):
+        own = written(chain.rows("counts").filter("part < 0").mapInArrow(run, "data binary"), "own")
+    for (data,) in own.toLocalIterator():
         some = _unpack(data)
         table.reshape(-1)[some["code"]] += some["own"]
     return np.log10(table / (len(history) - 1 - BURN_IN)).astype(np.float32)
 
 
 def _light_sums(chain: Chain, buckets: int) -> DataFrame:
-    """bucket, data: per row, of its tokens in a part, the known ones and the sums of log10(c + 1) and of log10 probabilities."""
+    """bucket, data: per row, of its tokens in all parts, the known ones and the sums of log10(c + 1) and of log10 probabilities."""
     read, history = chain.seatings(), chain.history
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, more in read(batches):
-            sum_ = np.zeros(len(s.c))
+            part, sum_ = s.part, np.zeros(len(s.c))
             for number in range(len(history) - 1):
                 s.sweep(number, history[number])
                 if number >= BURN_IN:
@@ -452,18 +575,33 @@ def _light_sums(chain: Chain, buckets: int) -> DataFrame:
             logs = np.log10(sum_ / (len(history) - 1 - BURN_IN))
             s.word_c[s.heavy_words] = history[-1]["word_c"][s.heavy_word_at]
             c = s.word_c[s.pair_word]
-            del s
+            del s, sum_
             known, base = (c > 0).astype(np.float64), np.log10(c + 1.0)
-            t = _unpack(more.pop("tokens"))
-            keys, at = np.unique(t["keys"], return_inverse=True)
-            row, pair, n = at[t["row"]], t["pair"], len(keys)
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            known, base, logs = (np.bincount(row, x[pair], n)[order] for x in (known, base, logs))
-            out = [(b, _pack(keys=keys[order[x:y]], known=_small(known[x:y]), base=base[x:y], logs=logs[x:y].astype(np.float32))) for b, x, y in _cuts(bucket[order], buckets)]
-            yield from _emit(out, "bucket")
-
-    return chain.rows("counts", "tokens").filter("part >= 0").mapInArrow(run, "bucket int, data binary")
+            t = _unpack(more.pop("tokens").as_buffer())
+            row, pair, n = t["row"], np.cumsum(t["pair"], dtype=np.uint32), len(t["place"])
+            known, base, logs = (np.bincount(row, x[pair], n) for x in (known, base, logs))
+            known, base, logs = known.astype(np.int64), np.round(base / BASE_STEP).astype(np.int64), np.round(-logs / LOG_STEP).astype(np.int64)
+            ends, named = np.cumsum(t["rows"]), np.cumsum(t["names"])
+            out = []
+            for i, batch in enumerate(t["batch"].view(np.int64).tolist()):
+                a, b = ends[i] - t["rows"][i], ends[i]
+                keys = {"keys": t["keys"][named[i] - t["names"][i] : named[i]]} if t["names"][i] else {}
+                out.append((batch, _pack(part=np.array([part]), place=t["place"][a:b], known=known[a:b], base=base[a:b], logs=logs[a:b], **keys)))
+            yield from _emit(out, "batch", pa.int64())
+
+    def name(group: tuple, batch: pa.Table) -> pa.Table:
+        pieces = sorted((_unpack(x.as_py()) for x in batch["data"]), key=lambda p: p["part"][0])
+        (keys,) = (p["keys"] for p in pieces if "keys" in p)
+        at = np.concatenate([p["place"] for p in pieces])
+        known, base, logs = (np.bincount(at, np.concatenate([p[x] for p in pieces]), len(keys)) for x in ("known", "base", "logs"))
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        split = [(b, order[x:y]) for b, x, y in _cuts(bucket[order], buckets)]
+        return pa.table({"bucket": pa.array([b for b, _ in split], pa.int32()), "data": pa.array([_pack(keys=keys[o], known=known[o], base=base[o] * BASE_STEP, logs=logs[o] * -LOG_STEP) for _, o in split], pa.binary())})
+
+    sums = chain.rows("counts", "tokens").filter("part >= 0").mapInArrow(run, "batch long, data binary")
+    with _one_row_batches(chain.table.sparkSession):
+        return written(sums.groupBy("batch").applyInArrow(name, "bucket int, data binary"), "sums")
 
 
 def _heavy_sums(rows: DataFrame, heavy: np.ndarray, table: np.ndarray, count: np.ndarray, buckets: int) -> DataFrame:
@@ -502,8 +640,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size // PART_BYTES))
-    heavy = heavy_words(rows)
-    chain = Chain(_gather(_route(rows, heavy, parts), heavy), heavy, parts)
+    heavy, common = frequent_words(rows)
+    chain = Chain(_gather(_route(rows, heavy, parts, common), heavy, common), heavy, parts)
     for _ in range(1 + BURN_IN + SAMPLES):
         chain.sweep()
     last = chain.history[-1]

@@ -137,6 +137,39 @@ def test_totals_of_contexts_over_parts(spark, docs, texts):
         assert chain.history[done]["vocabulary"] == len({w for w, _ in true})
 
 
+def test_tokens_take_few_bytes_in_small_pieces(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    data = [(i, " ".join(rng.choice(vocabulary) for _ in range(100)), True) for i in range(1000)]
+    rows = spark.createDataFrame(data, "key long, text string, train boolean").coalesce(1)
+    heavy = np.unique(np.array([pylm.BEGIN, pylm.END], np.uint64))
+    assert pylm._route(rows, heavy, 50).agg(F.sum(F.octet_length("data"))).first()[0] / 100_000 < 10
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(22)
+    some = {"a": np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64) * 2), "b": rng.integers(-5, 500, 50), "c": rng.random(7), "d": np.zeros(0, np.uint32), "e": rng.random(9) < 0.5, "f": np.array([3, 70_000, 5])}
+    back = pylm._unpack(pylm._pack(**some))
+    assert list(back) == list(some) and all(back[k].dtype == x.dtype and (back[k] == x).all() for k, x in some.items())
+
+
+def test_seats_of_a_sweep_are_kept(spark, docs):
+    """A part that gets its seats of the sweeps before has the tables that these sweeps, done again, would give."""
+    heavy = np.unique(np.array([pylm.BEGIN, pylm.END, xxhash.xxh3_64_intdigest(b"no")], np.uint64))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(True).alias("train"))
+    chain = pylm.Chain(pylm._gather(pylm._route(rows, heavy, 2), heavy), heavy, 2)
+    for _ in range(3):
+        chain.sweep()
+    for r in chain.rows("counts").collect():
+        replies = [tuple(x) for x in r.replies]
+        assert {i for i, owner, _ in replies if owner < 0} == {0, 1}
+        kept, again = (pylm.Seating(r.part, pylm._unpack(r.counts), heavy, [x for x in replies if x[1] >= 0 or with_]) for with_ in (True, False))
+        for number in range(2):
+            for s in (kept, again):
+                s.sweep(number, chain.history[number])
+            assert (kept.tables == again.tables).all() and (kept.root_c == again.root_c).all() and (kept.root_t == again.root_t).all()
+
+
 def test_seating_matches_one_by_one():
     rng, d, a, c = np.random.default_rng(3), 0.5, 2.0, 400
     fast = pylm.seat(np.full(3000, c), np.full(3000, a), d, rng)
