@@ -14,6 +14,8 @@ bit-parallel edit distance.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,8 +143,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
     rows = _modes(lines)
     index, probe = keys(rows, True).toDF("b", "k2"), keys(rows, False).toDF("a", "k")
     # an index row is a probe row of its own line, too, so only rows of other lines count
-    probe = written(probe.join(index, (F.col("k") == F.col("k2")) & (F.col("a") != F.col("b")), "left_semi").distinct(), "probes")
-    index = written(index.join(probe, F.col("k2") == F.col("k"), "left_semi").select("b", F.col("k2").alias("k")), "indexed")
+    # two lines of a key say whether there is another one, so the hashed side has one row a key
+    ends = index.repartition("k2").groupBy("k2").agg(F.min("b").alias("low"), F.max("b").alias("high")).hint("shuffle_hash")
+    probe = written(probe.join(ends, (F.col("k") == F.col("k2")) & ((F.col("a") != F.col("low")) | (F.col("a") != F.col("high"))), "left_semi").distinct(), "probes")
+    index = written(index.join(probe.select("k").distinct().hint("shuffle_hash"), F.col("k2") == F.col("k"), "left_semi").select("b", F.col("k2").alias("k")), "indexed")
     ids = probe.select(F.col("a").alias("node")).union(index.select(F.col("b").alias("node"))).distinct()
     symbols = F.transform(F.when(F.col("mode") == 0, F.split("line", "")).otherwise(F.split("line", " ")), lambda x: F.xxhash64(x))
     code = F.array_join(F.transform("u", lambda x: F.chr((F.pmod(x, F.lit(127)) + 1).cast("int"))), "")
@@ -182,7 +186,16 @@ def near_lines(lines: DataFrame) -> DataFrame:
     after = F.struct("p.first", "p.id") > F.struct("q.first", "q.id")
     met = left.join(right, (F.col("k") == F.col("k2")) & (F.col("p.id") != F.col("q.id")) & F.when(after, F.col("open_p")).otherwise(F.col("open_q")) & alike("p", "q"))
     a, b = F.when(after, F.col("p.node")).otherwise(F.col("q.node")), F.when(after, F.col("q.node")).otherwise(F.col("p.node"))
-    return settled.union(verified(met.select(a.alias("a"), b.alias("b")).distinct())).distinct()
+    found = written(settled.union(verified(met.select(a.alias("a"), b.alias("b")).distinct())).distinct(), "near")
+    for used in (probe, index, texts, settled):
+        discard(used)
+    return found
+
+
+def row_number(key: Column, text: Column) -> Column:
+    """One number in the order of key (a long, null last) and a hash of the text; unlike a struct's, its least is found without sorting."""
+    mark = F.shiftrightunsigned(F.xxhash64(text), 2).cast("decimal(19,0)")
+    return F.coalesce(key.cast("long").cast("decimal(19,0)") * F.lit(Decimal(1 << 62)), F.lit(Decimal(5 * 10**37))) + mark
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
@@ -195,12 +208,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     own; rows that repeat key and text are one document, so all of them keep the same lines. A column named as
     removed is replaced. No rows give no rows.
     """
-    row = F.struct(docs[key].isNull().alias("no"), F.coalesce(docs[key].cast("long"), F.lit(0)).alias("key"), F.xxhash64(docs[text]).alias("mark"))
-    spots = docs.select(row.alias("row"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    row = row_number(docs[key], docs[text])
+    # made once a row: beside the explosion it would be made again for every line
+    spots = docs.select(row.alias("row"), docs[text].alias("text")).select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     mark = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     grouped = spots.groupBy("line").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times"))
     lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "line", word_number(F.col("line")).alias("words"), "first", "times"), "lines")
-    near = written(near_lines(lines), "near").withColumn("near", F.lit(True))
+    near = near_lines(lines).withColumn("near", F.lit(True))
     repeated = lines.join(near, "id", "left").filter("times > 1 or near").select(mark.alias("mark"), "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
     discard(lines)

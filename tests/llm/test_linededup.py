@@ -123,6 +123,20 @@ def test_rows_of_one_key_or_of_none_are_documents_of_their_own(spark):
     assert got == {old, f"x1 {own}", data[2][1], "first without a key", data[4][1]}
 
 
+def test_rows_are_numbered_in_their_order(spark):
+    keys = [-(1 << 63), -(1 << 63) + 1, -7, -1, 0, 1, 5, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, k, t) for i, k in enumerate(keys) for t in ("", "a", "b b", None)], "i int, k long, t string")
+    got = sorted((r.n, r.i) for r in df.select("i", linededup.row_number(F.col("k"), F.col("t")).alias("n")).collect())
+    assert [i for _, i in got] == sorted(i for _, i in got) and len({n for n, _ in got}) == len(got)
+
+
+def test_lines_are_grouped_without_sorting(spark):
+    """A line's first row is found by hashing; a least struct would have the texts of the lines sorted."""
+    docs = spark.createDataFrame([(1, "some line\nother line")], "doc_id long, text string")
+    plan = docs.select(linededup.row_number(F.col("doc_id"), F.col("text")).alias("row"), "text").groupBy("text").agg(F.min("row"), F.count(F.lit(1)))
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     data = [(2, "some words here\nsome words here\n \nend"), (2, "some words here\nsome words here\n \nend"), (3, "end\nEND"), (4, ""), (5, None)]
     got = sorted((r.doc_id, r.text, r.removed) for r in linededup.dedup(spark.createDataFrame([(*d, None, None, None) for d in data], SCHEMA)).filter("text is not null").collect())
