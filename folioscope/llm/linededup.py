@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     spots = docs.select(row.alias("row"), docs[text].alias("text")).select("row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
     mark = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     grouped = spots.groupBy("line").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = written(grouped.select(F.monotonically_increasing_id().alias("id"), "line", word_number(F.col("line")).alias("words"), "first", "times"), "lines")
+    lines = written(grouped.sortWithinPartitions("line").select(F.monotonically_increasing_id().alias("id"), "line", word_number(F.col("line")).alias("words"), "first", "times"), "lines")
     near = near_lines(lines).withColumn("near", F.lit(True))
     repeated = lines.join(near, "id", "left").filter("times > 1 or near").select(mark.alias("mark"), "first", F.coalesce("near", F.lit(False)).alias("near"))
     repeated = written(repeated, "repeated")
